@@ -38,6 +38,8 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
 
+NOT_BLANK = WS.replace("[", "[^", 1)
+
 PLAIN_NUMBER = r"^[+-]?\d{1,300}(?:[.,]\d+)?$"
 NUMBER_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 

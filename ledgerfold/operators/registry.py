@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.functions.text import cell_text, normalize, parse_number, strip
+from ledgerfold.functions.text import NOT_BLANK, cell_text, normalize, parse_number, strip
 from ledgerfold.operators.grid import TABLE
 from ledgerfold.operators.relational import index_where
 from ledgerfold.session import cut
@@ -115,7 +115,8 @@ def typed_rows(grids: DataFrame, layout: DataFrame) -> DataFrame:
     Units are null where the extract has no such column and 0 where the cell
     cannot be read; ``unreadable`` marks the non-blank ones among the latter.
     """
-    placed = grids.join(layout, TABLE).filter(F.col("row_idx") > F.col("header_row"))
+    named = F.coalesce(_cell("category"), F.lit("")).rlike(NOT_BLANK)
+    placed = grids.join(layout, TABLE).filter((F.col("row_idx") > F.col("header_row")) & named)
     placed = placed.select(
         "file",
         "row_idx",
@@ -125,7 +126,7 @@ def typed_rows(grids: DataFrame, layout: DataFrame) -> DataFrame:
         F.when(F.col("zone").isNotNull(), strip(_cell("zone"))).otherwise("").alias("zone"),
         F.when(F.col("municipality").isNotNull(), strip(_cell("municipality"))).otherwise("").alias("municipality"),
         F.when(F.col("unit_name").isNotNull(), strip(_cell("unit_name"))).otherwise("").alias("unit_name"),
-    ).filter(F.col("category") != "")
+    )
     placed = placed.withColumn("number", parse_number(F.col("raw_units")))
     has_units, number = F.col("has_units"), F.col("number")
     return placed.select(

@@ -7,12 +7,15 @@ added per file.  Sides of joins are left to Catalyst, as they grow with the data
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COMMA = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -235,3 +238,44 @@ def norm_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_idx",
         "cells",
     )
+
+
+def norm_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored norm rules for some part names: every mode, and formulas of every kind."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    name = F.col("p_name")
+    tail = F.substring_index(name, " ", -1)
+    mode = (
+        F.when(name.startswith("red"), "manual")
+        .when(name.startswith("blue") | name.startswith("small"), "formula")
+        .when(name.startswith("old"), "none")
+        .when(name.startswith("cold"), "single")
+    )
+    expression = (
+        F.when(name.startswith("blue"), F.concat(F.lit("0,5*[@"), F.upper("p_name"), F.lit("] + (2 - 1)")))
+        .when(name == "small bolt", F.concat(F.lit("[@"), "p_name", F.lit("] / 0")))
+        .when(name == "small gear", F.lit("[nowhere] + 1"))
+        .when(name.startswith("small"), F.concat(F.lit("-[@"), "p_name", F.lit("]*2 +")))
+    )
+    return names.filter(mode.isNotNull()).select(
+        name.alias("key"),
+        mode.alias("mode"),
+        F.when(name.startswith("cold"), F.concat(F.lit("hot "), tail)).alias("entry_name"),
+        expression.alias("expression"),
+        F.when(name.startswith("red"), F.length("p_name").cast("double")).alias("manual_mass"),
+        F.lit(None).cast("double").alias("manual_volume"),
+    )
+
+
+def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plural registry names are taken out; unlisted goods of one brand go to rings."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    plural = names.select(F.concat("p_name", F.lit("s")).alias("key"), F.lit("").alias("template_key"))
+    brands = table(spark, sf_dir, "part").filter("p_brand = 'Brand#12'").select("p_brand").distinct()
+    listed = brands.select(F.lit("unlisted goods brand 12").alias("key"), F.lit("blue ring").alias("template_key"))
+    return plural.unionByName(listed)
+
+
+def zone_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").filter("r_name = 'ASIA'")
+    return regions.select(F.lower("r_name").alias("key"), F.lit("america").alias("template_key"))

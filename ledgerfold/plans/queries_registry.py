@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators import registry
 from ledgerfold.plans import extracts
-
-
-def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.layouts(extracts.registry_body(spark, sf_dir), top=extracts.registry_heads(spark, sf_dir))
+from ledgerfold.session import cut
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.typed_rows(extracts.registry_body(spark, sf_dir), _layout(spark, sf_dir))
+    body = extracts.registry_body(spark, sf_dir)
+    return registry.typed_rows(body, registry.layouts(body, top=extracts.registry_heads(spark, sf_dir)))
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +32,6 @@ def registry_header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_best_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each extract twice in one file: whole, and without its unit-less rows."""
-    from ledgerfold.session import cut
-
     whole = extracts.registry_grids(spark, sf_dir)
     shorter = whole.filter((F.col("row_idx") < 2) | (F.col("row_idx") % 3 == 0)).withColumn("table_idx", F.lit(1))
     both = whole.unionByName(shorter)
