@@ -166,15 +166,18 @@ def round_half_up(value: Column, digits: int) -> Column:
 
 
 def join_lines(parts: Column) -> Column:
-    """Glue the lines of one cell; a hyphenated break is joined without a space."""
-    glued = F.aggregate(
-        parts,
-        F.lit(""),
-        lambda acc, part: F.when(acc == "", part)
-        .when(acc.rlike(r"\S[-‑–]$") & part.rlike("^[a-zа-яё]"), F.concat(acc, part))
-        .otherwise(F.concat_ws(" ", acc, part)),
-    )
-    return cell_text(glued)
+    """Glue the lines of one cell; a hyphenated break is joined without a space.
+
+    Whether two lines are glued depends on these two alone, so the separators
+    are chosen side by side and no text is grown step by step.
+    """
+
+    def piece(part: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(parts, i - 1), F.lit(""))
+        glued = before.rlike(r"\S[-‑–]$") & part.rlike("^[a-zа-яё]")
+        return F.when(glued, part).otherwise(F.concat(F.lit(" "), part))
+
+    return cell_text(F.array_join(F.transform(parts, piece), ""))
 
 
 def join_words(parts: Column) -> Column:

@@ -41,7 +41,7 @@ def has_unknown_sign(expression: Column) -> Column:
 
 def references(expression: Column) -> Column:
     """Norm ids a formula refers to, in order."""
-    return F.transform(F.regexp_extract_all(expression, F.lit(REFERENCE), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(expression, F.lit(REFERENCE), F.lit(1)), lambda inner: F.trim(inner))
 
 
 def _split(text: str) -> list[str]:

@@ -49,7 +49,7 @@ def expand_spans(cells: DataFrame) -> DataFrame:
     return placed.select(
         *TABLE,
         "row_idx",
-        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("span") - 1)).cast("int").alias("col_idx"),
+        F.explode(F.sequence("start", F.col("start") + F.col("span") - 1).cast("array<int>")).alias("col_idx"),
         "value",
     )
 

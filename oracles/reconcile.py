@@ -111,7 +111,7 @@ QUALIFY row_number() OVER (PARTITION BY {norm('zone')}, {norm('category')} ORDER
     "norm_first_data_rows": f"""WITH {NORMS}
 SELECT DISTINCT 'order.docx' AS file, table_idx, 3 AS header_row_count FROM norms""",
     "norm_column_profile": f"""WITH {NORMS},
-counts AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE regexp_matches(p_name, '[a-z]{4}')) AS named FROM part_norms GROUP BY 1),
+counts AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE regexp_matches(p_name, '[a-z]{{4}}')) AS named FROM part_norms GROUP BY 1),
 cols AS (
   SELECT t, c, n, named, CASE
       WHEN t = 5 THEN ['ordinal', 'text', 'plain', 'plain'][c + 1]

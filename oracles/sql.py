@@ -84,11 +84,14 @@ def _best(a: str, b: str) -> str:
     )
 
 
+def soft(ta: str, tb: str) -> str:
+    return f"CASE WHEN len({ta}) = 0 OR len({tb}) = 0 THEN 0.0 ELSE ({_best(ta, tb)} + {_best(tb, ta)}) / 2 END"
+
+
 def similarity(a: str, ta: str, b: str, tb: str) -> str:
-    soft = f"CASE WHEN len({ta}) = 0 OR len({tb}) = 0 THEN 0.0 ELSE ({_best(ta, tb)} + {_best(tb, ta)}) / 2 END"
     return (
         f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 "
-        f"ELSE greatest(({soft}) * 0.85 + {_ratio(a, b)} * 0.15, {_ratio(a, b)}) END"
+        f"ELSE greatest(({soft(ta, tb)}) * 0.85 + {_ratio(a, b)} * 0.15, {_ratio(a, b)}) END"
     )
 
 
@@ -97,7 +100,7 @@ STATUS = "CASE WHEN score >= 0.999 THEN 'exact' WHEN score >= 0.85 THEN 'auto' W
 
 def r(value: str, digits: int) -> str:
     """Half away from zero on the decimal value."""
-    return f"round(({value})::DECIMAL(38, 12), {digits})::DOUBLE"
+    return f"round(CAST(CAST(({value})::DOUBLE AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE"
 
 
 FORM = f"""
