@@ -54,8 +54,12 @@ def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES)
         ).alias("entry"),
     )
     packed = prepared.groupBy("block").agg(F.collect_list("entry").alias("entries"))
+    # Scoring is the costly part: the names are spread over all cores at hand,
+    # which adaptive execution would otherwise fold into few tasks.
+    cores = names.sparkSession.sparkContext.defaultParallelism
     left = (
-        names.select("key", F.col("name").alias("wanted"), F.col("basis").alias("wanted_basis"))
+        names.repartition(cores, "key")
+        .select("key", F.col("name").alias("wanted"), F.col("basis").alias("wanted_basis"))
         .withColumn("match_key", normalize(F.col("wanted")))
         .withColumn("tokens", tokens_of_key(F.col("match_key")))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

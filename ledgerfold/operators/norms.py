@@ -41,23 +41,36 @@ COLUMNS = ["name_column", "unit_column", "mass_column", "volume_column"]
 
 
 def first_data_rows(rows: DataFrame) -> DataFrame:
-    """First row, below the first of the table, that holds both a measure and a name."""
+    """First row, below the first of the table, that holds both a measure and a name.
+
+    Written out, as all that follows looks it up.  One aggregate finds it in all
+    tables but those whose very first row is data; these are read once more.
+    """
     cells = F.col("cells")
     measured = F.exists(cells, is_measure)
     named = F.exists(cells, lambda c: strip(c).rlike(WORDY) & ~is_remark(strip(c)))
-    data = ~is_spanning(cells) & ~is_numbering(cells) & measured & named
-    first = rows.groupBy(*TABLE).agg(F.min("row_idx").alias("top"))
-    return (
-        join_lookup(rows, first, TABLE)
-        .filter((F.col("row_idx") > F.col("top")) & data)
+    flagged = rows.withColumn("data", ~is_spanning(cells) & ~is_numbering(cells) & measured & named)
+    firsts = cut(
+        flagged.groupBy(*TABLE).agg(
+            F.min("row_idx").alias("top"), F.min(F.when(F.col("data"), F.col("row_idx"))).alias("data_from")
+        )
+    )
+    usual = firsts.filter(F.col("data_from") > F.col("top")).select(*TABLE, "data_from")
+    headless = firsts.filter(F.col("data_from") == F.col("top")).select(*TABLE, "top")
+    if headless.isEmpty():
+        return usual
+    later = (
+        flagged.join(headless, TABLE)
+        .filter((F.col("row_idx") > F.col("top")) & F.col("data"))
         .groupBy(*TABLE)
         .agg(F.min("row_idx").alias("data_from"))
     )
+    return cut(usual.unionByName(later))
 
 
 def header_row_counts(rows: DataFrame, data_from: DataFrame) -> DataFrame:
     """How many significant rows stand above the first data row."""
-    above = join_lookup(rows.select(*TABLE, "row_idx"), data_from, TABLE).filter(F.col("row_idx") < F.col("data_from"))
+    above = join_lookup(rows.select(*TABLE, "row_idx"), data_from, TABLE, written=True).filter(F.col("row_idx") < F.col("data_from"))
     return above.groupBy(*TABLE).agg(F.count("*").alias("header_row_count"))
 
 
@@ -70,7 +83,7 @@ def profile_columns(rows: DataFrame, data_from: DataFrame) -> DataFrame:
     """
     service = is_spanning(F.col("cells")) | is_numbering(F.col("cells"))
     cells = (
-        join_lookup(rows.select(*TABLE, "row_idx", "cells"), data_from, TABLE)
+        join_lookup(rows.select(*TABLE, "row_idx", "cells"), data_from, TABLE, written=True)
         .withColumn("is_data", F.col("row_idx") >= F.col("data_from"))
         .withColumn("counts", F.col("is_data") & ~service)
         .select(*TABLE, "row_idx", "is_data", "counts", F.posexplode("cells").alias("col_idx", "cell"))
@@ -124,7 +137,7 @@ def detect_layouts(rows: DataFrame) -> DataFrame:
     rule is a search in it: by the units in the cells, then by the units in the
     header, then by the header's words, then by being the only number left.
     """
-    data_from = cut(first_data_rows(rows))
+    data_from = first_data_rows(rows)
     header = F.col("header")
     described = profile_columns(rows, data_from).select(
         *TABLE,
@@ -219,7 +232,7 @@ def place_layouts(rows: DataFrame, layouts: DataFrame) -> DataFrame:
     for role in ("mass", "volume"):
         named = headers.select(*TABLE, F.col("col_idx").alias(f"{role}_column"), F.col("header").alias(f"{role}_header"))
         placed = placed.join(named, [*TABLE, f"{role}_column"], "left")
-    return placed.withColumns({h: F.coalesce(h, F.lit("")) for h in ("mass_header", "volume_header")})
+    return cut(placed.withColumns({h: F.coalesce(h, F.lit("")) for h in ("mass_header", "volume_header")}))
 
 
 def _unless_other(text: Column) -> Column:
@@ -234,6 +247,7 @@ def _or_else(*texts: Column) -> Column:
 def extract(rows: DataFrame, layouts: DataFrame) -> DataFrame:
     """Norm entries of the tables that have a layout, numbered n0, n1, … per file.
 
+    ``layouts`` is a written table, from ``detect_layouts`` or ``place_layouts``.
     A pass over the rows with the layouts looked up.  A unit in the cell goes
     before the factor of its header; rows whose cell names the other kind of
     unit than its column are dropped.
@@ -253,7 +267,7 @@ def extract(rows: DataFrame, layouts: DataFrame) -> DataFrame:
         ).alias("header_basis"),
     )
     cells = F.col("cells")
-    body = join_lookup(rows.select(*TABLE, "title", "row_idx", "cells"), terms, TABLE).filter(
+    body = join_lookup(rows.select(*TABLE, "title", "row_idx", "cells"), terms, TABLE, written=True).filter(
         (F.col("row_idx") >= F.col("data_from")) & ~is_service(cells, F.col("name_column"))
     )
 

@@ -10,15 +10,18 @@ from ledgerfold.session import cut
 CHUNK = 8192
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_lookup(
+    big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", written: bool = False
+) -> DataFrame:
     """Join a large frame with a lookup that has one row per key.
 
-    The lookup is written out first.  Its real size then decides: below the
+    The lookup is written out first (unless it is read from a written table
+    already, as ``written`` says).  Its real size then decides: below the
     session's broadcast threshold the large side is not moved at all; above it
     both sides are shuffled and adaptive execution splits a key that holds a
     big share of the rows.
     """
-    return big.join(cut(lookup), keys, how)
+    return big.join(lookup if written else cut(lookup), keys, how)
 
 
 def running_sum(
