@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.text import normalize, similarity_of_keys, tokens_of_key
+from ledgerfold.operators.relational import spread
 
 # --- fixed values: score levels and the penalty for another unit of measure ---
 EXACT_SCORE, AUTO_SCORE, WEAK_SCORE = 0.999, 0.85, 0.45
@@ -54,11 +55,8 @@ def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES)
         ).alias("entry"),
     )
     packed = prepared.groupBy("block").agg(F.collect_list("entry").alias("entries"))
-    # Scoring is the costly part: the names are spread over all cores at hand,
-    # which adaptive execution would otherwise fold into few tasks.
-    cores = names.sparkSession.sparkContext.defaultParallelism
     left = (
-        names.repartition(cores, "key")
+        spread(names, ["key"])
         .select("key", F.col("name").alias("wanted"), F.col("basis").alias("wanted_basis"))
         .withColumn("match_key", normalize(F.col("wanted")))
         .withColumn("tokens", tokens_of_key(F.col("match_key")))

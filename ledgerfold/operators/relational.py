@@ -10,6 +10,17 @@ from ledgerfold.session import cut
 CHUNK = 8192
 
 
+def spread(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle by ``keys`` over all cores at hand.
+
+    For steps that compute much on few bytes: a stated number of partitions is
+    kept, where adaptive execution would fold small partitions together.
+    """
+    spark = frame.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return frame.repartition(wanted, *keys)
+
+
 def join_lookup(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", written: bool = False
 ) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.text import cell_text
+
 _COMMA = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
 
 
@@ -279,3 +281,59 @@ def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").filter("r_name = 'ASIA'")
     return regions.select(F.lower("r_name").alias("key"), F.lit("america").alias("template_key"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents with their position."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", cell_text(F.col("text")).alias("text"))
+    return docs.filter(F.col("text") != "").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("at", "text"))
+
+
+def cell_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set as tables of four columns, two lines to a cell, thirty rows to a page.
+
+    Every tenth row has its first cell only, as a caption would.
+    """
+    within = F.col("at") % 240
+    placed = _words(spark, sf_dir).withColumns(
+        {
+            "page": F.floor(F.col("at") / 240).cast("int"),
+            "row": F.floor(within / 8),
+            "cell": F.floor(within % 8 / 2),
+            "line": within % 2,
+        }
+    )
+    kept = placed.filter((F.col("row") % 10 != 0) | (F.col("cell") == 0))
+    return kept.select(
+        "doc",
+        "page",
+        F.col("at").cast("bigint").alias("seq"),
+        "text",
+        (F.col("cell") * 100.0 + 50).alias("x"),
+        (F.col("row") * 40.0 + F.col("line") * 11.2 + 40).alias("y"),
+        F.lit(50.0).alias("width"),
+        F.lit(9.0).alias("height"),
+    )
+
+
+def scan_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scans: a word per cell, four columns, odd documents lying askew."""
+    within = F.col("at") % 200
+    placed = _words(spark, sf_dir).withColumns(
+        {
+            "page": F.floor(F.col("at") / 200).cast("int"),
+            "row": F.floor(within / 4),
+            "x": within % 4 * 100.0 + 100,
+        }
+    )
+    tilt = F.when(F.col("doc") % 2 == 1, 0.02).otherwise(0.0)
+    return placed.select(
+        "doc",
+        "page",
+        F.col("at").cast("bigint").alias("seq"),
+        "text",
+        "x",
+        (F.col("row") * 16.0 + 60 + tilt * F.col("x")).alias("y"),
+        F.least(F.length("text") * 5.2, F.lit(60.0)).alias("width"),
+        F.lit(10.0).alias("height"),
+    )
