@@ -138,7 +138,7 @@ def resolve(rules: DataFrame, norms: DataFrame) -> DataFrame:
     named = rules.select("key", F.posexplode(references(F.col("expression"))).alias("at", "id"))
     known = norms.select("id", "mass", "volume", F.lit(True).alias("known"))
     found = named.join(known, "id", "left").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "id", "mass", "volume", "known"))).alias("refs")
+        F.sort_array(F.collect_list(F.struct("at", "id", "mass", "volume", "known"))).alias("refs")
     )
     refs = F.coalesce("refs", F.array().cast("array<struct<at:int,id:string,mass:double,volume:double,known:boolean>>"))
     return rules.join(found, "key", "left").select(
@@ -198,7 +198,7 @@ def replace_references(rules: DataFrame, table: DataFrame, pattern: str, key: Co
         inner.withColumn("ref", key)
         .join(table, "ref")
         .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("inner", "replacement"))).alias("changes"))
+        .agg(F.sort_array(F.collect_list(F.struct("inner", "replacement"))).alias("changes"))
     )
     opening = "[@" if pattern == NAMED_REFERENCE else "["
     changed = F.aggregate(

@@ -93,7 +93,7 @@ def captions(body: DataFrame) -> DataFrame:
         .withColumn("back", F.row_number().over(recent))
         .filter(F.col("back") <= CAPTION_PARTS)
         .groupBy("file", "island")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("parts"))
         .select("file", "island", F.array_join(F.col("parts.text"), " ").alias("caption"))
     )
     return tables.join(said, ["file", "island"], "left").select(
@@ -159,7 +159,7 @@ def header_texts(rows: DataFrame, header_rows: DataFrame) -> DataFrame:
     )
     return (
         tiers.groupBy(*TABLE, "col_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("tier", "text"))).alias("tiers"))
+        .agg(F.sort_array(F.collect_list(F.struct("tier", "text"))).alias("tiers"))
         .select(
             *TABLE,
             "col_idx",
@@ -208,7 +208,7 @@ def sample_allowance(grids: DataFrame) -> DataFrame:
     chosen = per_table.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_TABLES)
     per_file = chosen.groupBy("file").agg(
         F.least(F.greatest(F.max("width"), F.lit(1)), F.lit(SAMPLE_COLUMNS)).alias("width"),
-        F.array_sort(F.collect_list(F.struct("n", "table_idx"))).alias("order"),
+        F.sort_array(F.collect_list(F.struct("n", "table_idx"))).alias("order"),
     )
     start = F.struct(
         F.floor(F.lit(SAMPLE_CELLS) / F.col("width")).cast("bigint").alias("budget"),
@@ -286,7 +286,7 @@ def split_on_repeated_header(grids: DataFrame) -> DataFrame:
     )
     # Marks are few; the walk over them keeps the start of the current part.
     per_table = marked.groupBy(*TABLE).agg(
-        F.array_sort(F.collect_list(F.struct("mark", "run_start", "numbers_before"))).alias("marks")
+        F.sort_array(F.collect_list(F.struct("mark", "run_start", "numbers_before"))).alias("marks")
     )
     first = grids.groupBy(*TABLE).agg(F.min("row_idx").alias("first_row"))
     begin = F.struct(

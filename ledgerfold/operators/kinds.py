@@ -25,11 +25,11 @@ def detect_kinds(files: DataFrame, grids: DataFrame) -> DataFrame:
     top = grids.filter(F.col("row_idx") < HEADER_DEPTH)
     row_text = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " ")
     titles = top.groupBy("file", "table_idx").agg(
-        F.max("title").alias("title"), F.array_sort(F.collect_list(F.struct("row_idx", row_text.alias("text")))).alias("rows")
+        F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("row_idx", row_text.alias("text")))).alias("rows")
     )
     texts = titles.groupBy("file").agg(
-        F.array_join(F.array_sort(F.collect_list("title")), " ").alias("titles"),
-        F.array_join(F.flatten(F.array_sort(F.collect_list(F.col("rows.text")))), " ").alias("body"),
+        F.array_join(F.sort_array(F.collect_list("title")), " ").alias("titles"),
+        F.array_join(F.flatten(F.sort_array(F.collect_list(F.col("rows.text")))), " ").alias("body"),
     )
     header = normalize(F.concat_ws(" ", "titles", "body"))
     name, text = F.col("file"), F.col("header")

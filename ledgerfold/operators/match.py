@@ -97,7 +97,7 @@ def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES)
     )
     best = (
         met.withColumn("raw_scores", raw)
-        .select("key", "wanted_basis", F.slice(F.array_sort(scored), 1, limit).alias("best"))
+        .select("key", "wanted_basis", F.slice(F.sort_array(scored), 1, limit).alias("best"))
         .select("key", "wanted_basis", F.explode("best").alias("c"))
     )
     order = Window.partitionBy("key").orderBy("c.minus_score", "c.sort_name", "c.pos")
@@ -189,7 +189,7 @@ def zone_mapping(registry_zones: DataFrame, candidates: DataFrame) -> DataFrame:
 def candidate_lists(candidates: DataFrame) -> DataFrame:
     """Candidates of a name as one array (at most ``limit`` of them)."""
     fields = F.struct("rank", "id", "name", "basis", "score", "raw_score", "basis_mismatch")
-    return candidates.groupBy("key").agg(F.array_sort(F.collect_list(fields)).alias("candidates"))
+    return candidates.groupBy("key").agg(F.sort_array(F.collect_list(fields)).alias("candidates"))
 
 
 def status_histogram(mapping: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def profile_columns(rows: DataFrame, data_from: DataFrame) -> DataFrame:
     counts = ["mass", "volume", "plain", "text", "filled", "ordinals"]
     return (
         counted.groupBy(*TABLE, "col_idx")
-        .agg(F.array_sort(tiers).alias("tiers"), *[F.sum(c).alias(c) for c in counts])
+        .agg(F.sort_array(tiers).alias("tiers"), *[F.sum(c).alias(c) for c in counts])
         .select(*TABLE, "col_idx", F.array_join("tiers.tier_text", " ").alias("header"), *counts)
     )
 
@@ -157,7 +157,7 @@ def detect_layouts(rows: DataFrame) -> DataFrame:
             header.rlike(VOLUME_WORD).alias("volume_word"),
         ).alias("c"),
     )
-    tables = described.groupBy(*TABLE).agg(F.array_sort(F.collect_list("c")).alias("columns"))
+    tables = described.groupBy(*TABLE).agg(F.sort_array(F.collect_list("c")).alias("columns"))
     cols, at = F.col("columns"), "col_idx"
     name, unit, mass, volume = (F.col(c) for c in COLUMNS)
 

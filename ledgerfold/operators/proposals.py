@@ -71,7 +71,7 @@ def check_norm_tables(grids: DataFrame, proposals: DataFrame) -> DataFrame:
         .groupBy(*TABLE, "item", "col_idx", "cell")
         .agg(F.min("sig_idx").alias("tier"))
         .groupBy(*TABLE, "item", "col_idx")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("tier", "cell")))["cell"], " ").alias("header"))
+        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("tier", "cell")))["cell"], " ").alias("header"))
     )
     texts = cut(texts)
     for role in ("mass", "volume"):
@@ -148,7 +148,7 @@ def validate_norm_proposals(grids: DataFrame, proposals: DataFrame) -> tuple[Dat
         ).alias("problem"),
     )
     found = first.unionByName(empty.distinct()).unionByName(read)
-    told = found.groupBy("file").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+    told = found.groupBy("file").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
     files = proposals.select("file").distinct()
     verdict = (
         files.join(told, "file", "left")
@@ -239,7 +239,7 @@ def validate_registry_proposals(grids: DataFrame, proposals: DataFrame) -> DataF
     problems = F.when(F.size("problems") > 0, F.col("problems")).otherwise(content)
     judged = judged.withColumn("problems", problems).withColumn("ok", F.size("problems") == 0)
     summary = ["n_rows", "has_units", "n_category", "n_zone", "n_municipality"]
-    return judged.select("file", "ok", F.array_sort("problems").alias("problems"), *[F.when(F.col("ok"), F.col(c)).alias(c) for c in summary])
+    return judged.select("file", "ok", F.sort_array("problems").alias("problems"), *[F.when(F.col("ok"), F.col(c)).alias(c) for c in summary])
 
 
 def apply_registry_layout(grids: DataFrame, layout: DataFrame, detected: DataFrame) -> DataFrame:

@@ -21,6 +21,16 @@ def spread(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.repartition(wanted, *keys)
 
 
+def dealt_out(frame: DataFrame) -> DataFrame:
+    """Rows of a source with fewer splits than cores, dealt out to all of them.
+
+    For heavy work per row on a source that was landed in one piece; a source of
+    many splits is left as it is and nothing is shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def join_lookup(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", written: bool = False
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.text import cell_text
+from ledgerfold.operators.relational import dealt_out
 
 _COMMA = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
 
@@ -285,7 +286,8 @@ def zone_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents with their position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", cell_text(F.col("text")).alias("text"))
+    docs = dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", cell_text(F.col("text")).alias("text"))
     return docs.filter(F.col("text") != "").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("at", "text"))
 
 

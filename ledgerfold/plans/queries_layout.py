@@ -34,7 +34,7 @@ def page_rows(spark, sf_dir):
     return rows.groupBy("doc", "page").agg(
         F.count("*").alias("n_rows"),
         F.sum("n").alias("n_cells"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("row_idx", "line")))["line"], "/")).alias("digest"),
+        F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("row_idx", "line")))["line"], "/")).alias("digest"),
     )
 
 
@@ -55,7 +55,7 @@ def document_tables(spark, sf_dir):
             F.max("title").alias("title"),
             F.count("*").alias("n_rows"),
             F.max("width").alias("n_columns"),
-            F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("page", "row_idx", "line")))["line"], "/")).alias("digest"),
+            F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("page", "row_idx", "line")))["line"], "/")).alias("digest"),
         )
     )
 
@@ -100,7 +100,7 @@ def scan_tables(spark, sf_dir):
     rows = scan_layout.page_tables(pages, bands).select("doc", "page", "row_idx", F.array_join("cells", "|").alias("line"))
     return rows.groupBy("doc", "page").agg(
         F.count("*").alias("n_rows"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("row_idx", "line")))["line"], "/")).alias("digest"),
+        F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("row_idx", "line")))["line"], "/")).alias("digest"),
     )
 
 
@@ -114,7 +114,7 @@ def value_clusters(spark, sf_dir):
 def _edges(spark, sf_dir):
     """Per type of part: the distinct sizes of its parts as edges."""
     return table(spark, sf_dir, "part").filter("p_size % 4 = 1").groupBy("p_type").agg(
-        F.array_sort(F.collect_set(F.col("p_size") * 30.0)).alias("edges")
+        F.sort_array(F.collect_set(F.col("p_size") * 30.0)).alias("edges")
     )
 
 

@@ -6,33 +6,38 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import cellrefs, text, units
 from ledgerfold.operators import formula
+from ledgerfold.operators.relational import dealt_out
 from ledgerfold.plans.extracts import table
 
 
+def _documents(spark, sf_dir):
+    return dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def text_keys(spark, sf_dir):
     key = text.normalize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(key).alias("key_md5"), F.length(key).alias("key_length"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(key).alias("key_md5"), F.length(key).alias("key_length"))
 
 
 def text_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    docs = _documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 def text_cells(spark, sf_dir):
     cell = text.cell_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cell).alias("cell_md5"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(cell).alias("cell_md5"))
 
 
 def text_joined_lines(spark, sf_dir):
     joined = text.join_lines(F.split("text", "\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(joined).alias("joined_md5"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(joined).alias("joined_md5"))
 
 
 def text_joined_words(spark, sf_dir):
     spaced = F.regexp_replace("text", r"([,.;:!?()])", " $1 ")
     joined = text.join_words(F.split(spaced, " "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(joined).alias("joined_md5"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(joined).alias("joined_md5"))
 
 
 def name_similarity(spark, sf_dir):
