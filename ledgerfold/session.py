@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session on one machine; ``shared`` names the folder of intermediate tables."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("ledgerfold")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -23,17 +27,38 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables.
+    """The folder that driver and executors share for intermediate tables.
 
-    Only where none is named (tests on one machine) is a folder made.
+    It is the cluster's to name, in ``spark.checkpoint.dir`` or by
+    ``setCheckpointDir``.  None is made up here: a folder of one machine would
+    be unseen by the others.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="ledgerfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context.
+
+    For steps whose functions run on executors that have no copy installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_ledgerfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerfold-"), "ledgerfold.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("ledgerfold", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._ledgerfold_shipped = True
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and go on from the written table.
 
