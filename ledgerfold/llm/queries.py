@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import quality
+from ledgerfold.llm import language, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("file").cast("string").cast("binary")) % n
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text", "lang")
+    found = language.detect_languages(documents, documents.filter(fold(3) != 1))
+    return found.select(F.col("file").alias("doc_id"), (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = as_files(table(spark, sf_dir, "documents"))
     rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file"), "quality").filter(fold(5) != 0)
@@ -29,5 +35,6 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_quality_classifier": op6_quality_classifier,
 }
