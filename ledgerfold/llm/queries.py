@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, quality
+from ledgerfold.llm import language, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("file").alias("doc_id"), (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge_files(as_files(table(spark, sf_dir, "documents")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(F.col("file").alias("doc_id"), *counts, "base_failed", "kept", "p_good")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = as_files(table(spark, sf_dir, "documents"))
     rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file"), "quality").filter(fold(5) != 0)
@@ -36,5 +42,6 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
 }
