@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, quality, rules
+from ledgerfold.llm import language, near_copies, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("file").alias("doc_id"), (fold(5) == 0).alias("held_out"), "score", F.when(quality.keep_good(scored), 1).otherwise(0).alias("predicted"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies.near_copies(as_files(table(spark, sf_dir, "documents")), width=2)
+    return found.withColumnRenamed("file", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
