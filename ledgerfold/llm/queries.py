@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, near_copies, quality, rules
+from ledgerfold.llm import language, mixing, near_copies, quality, rules
+from ledgerfold.llm.records import SPACES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("file").alias("doc_id"), (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def n_words() -> Column:
+    """Words of a text: runs of anything but white space."""
+    return F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("bigint")
+
+
+def op2_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("municipality"), n_words().alias("units"))
+    mixed = mixing.balance_rows(rows)
+    return mixed.select(
+        F.col("file").alias("doc_id"), F.col("units").alias("size"), F.col("municipality_units").alias("source_size"), "target", F.col("units_taken").alias("taken"), "copies", "rate"
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge_files(as_files(table(spark, sf_dir, "documents")))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -47,6 +61,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_mixing_to_target_weights": op2_mixing_to_target_weights,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
