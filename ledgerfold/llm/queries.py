@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, mixing, near_copies, quality, rules
+from ledgerfold.llm import language, mixing, near_copies, quality, rules, token_files
 from ledgerfold.llm.records import SPACES
 
 
@@ -59,10 +59,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("file", "doc_id")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files.write_token_files(as_files(table(spark, sf_dir, "documents")), public_tokenizers.path(name))
+    return token_files.read_token_files(spark, folder).withColumnRenamed("file", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing_to_target_weights": op2_mixing_to_target_weights,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_token_files": op10_token_files,
 }
