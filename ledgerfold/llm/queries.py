@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, mixing, near_copies, quality, rules, token_files
+from ledgerfold.llm import decontaminate, language, mixing, near_copies, quality, rules, token_files
 from ledgerfold.llm.records import SPACES
 
 
@@ -59,6 +59,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("file", "doc_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    found = decontaminate.find_items(as_files(table(spark, sf_dir, "documents")), items)
+    return found.select(F.col("file").alias("doc_id"), F.col("found.item").alias("item_ids"), F.array_min("found.edits").alias("least_edits"), (~F.col("clean")).alias("contaminated"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -72,5 +78,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
 }
