@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
@@ -85,7 +85,7 @@ class _Forest:
         return k
 
 
-def _links_of_block(side: np.ndarray, copies: list[bytes], labels: list, sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+def _links_of_block(side: np.ndarray, copies: list, labels: list, sets: list[np.ndarray]) -> Iterator[tuple]:
     """Links between members of a block pair that no earlier link joins, one per join."""
     signed = np.stack([signature(s).ravel() for s in sets])
     sizes = np.array([len(s) for s in sets])
@@ -105,8 +105,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list = []
 
     def links() -> pa.RecordBatch:
+        kind = pa.int64() if isinstance(held[0][2], int) else pa.binary()
         found = list(_links_of_block(np.array([h[1] for h in held]), [h[2] for h in held], [h[3] for h in held], [h[4] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], names=["a", "b"])
 
     for batch in batches:
         lists = batch.column("shingles")
@@ -121,7 +122,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_type: str) -> DataFrame:
     """Links inside buckets whose members are not yet of one component.
 
     Members of such a bucket are dealt into blocks, and blocks are compared pair
@@ -138,7 +139,28 @@ def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     )
     whole = pairs.join(sets, "copy")
     sorted_ = whole.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
-    return sorted_.mapInArrow(_compared, "a binary, b binary")
+    return sorted_.mapInArrow(_compared, f"a {key_type}, b {key_type}")
+
+
+def groups_of(banded: DataFrame, sets_of, key_type: str = "binary") -> DataFrame:
+    """``(node, component)`` of members that share buckets: ``banded`` is ``(copy, band)``.
+
+    ``sets_of`` gives ``(copy, shingles)`` for the members asked for.  Every
+    member of a bucket is compared on full sets with the bucket's first; buckets
+    that still hold several components are compared in blocks.
+    """
+    along = Window.partitionBy("band").orderBy("copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = cut(banded.withColumn("head", F.first("copy").over(along)).filter("copy <> head"))
+    members = after.select("band", "copy").unionByName(after.select("band", F.col("head").alias("copy")).distinct())
+    pairs = cut(after.select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct())
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct())
+    sets = cut(sets_of(wanted))
+    side = lambda name: sets.select(F.col("copy").alias(name), F.col("shingles").alias(f"set_{name}"))
+    compared = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    links = cut(compared.filter(similar(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"))
+    rest = cut(_rest_of_links(members, connected(links), sets, key_type))
+    return connected(links.unionByName(rest))
 
 
 def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
@@ -163,21 +185,11 @@ def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
     texts = files.select("file", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"))
     kind = files.schema["file"].dataType.simpleString()
     signed = cut(texts.mapInArrow(lambda b: _banded(width, b), f"file {kind}, copy binary, n_shingles bigint, bands array<bigint>"))
-    banded = signed.select("copy", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("copy").alias("head"), F.max("copy").alias("last")).filter("head <> last")
-    members = cut(banded.join(heads.select("band", "head"), "band").select("band", "head", "copy").distinct())
-    pairs = cut(members.filter("copy <> head").select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct())
-    one_each = texts.select("copy", "text").join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
-    sets = cut(one_each.mapInArrow(lambda b: _sets(width, b), "copy binary, shingles array<bigint>"))
-    side = lambda name: sets.select(F.col("copy").alias(name), F.col("shingles").alias(f"set_{name}"))
-    compared = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    links = cut(compared.filter(similar(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"))
-    rest = cut(_rest_of_links(members.select("band", "copy"), connected(links), sets))
-    labels = connected(links.unionByName(rest))
-    named = signed.filter("n_shingles > 0").groupBy("copy").agg(F.min("file").alias("first"))
-    named = cut(named.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "first", F.coalesce("component", "copy").alias("label")))
+    distinct = cut(signed.filter("n_shingles > 0").groupBy("copy").agg(F.first("bands").alias("bands"), F.min("file").alias("first")))
+    banded = distinct.select("copy", F.explode("bands").alias("band"))
+    one_each = lambda wanted: texts.select("copy", "text").join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
+    labels = groups_of(banded, lambda wanted: one_each(wanted).mapInArrow(lambda b: _sets(width, b), "copy binary, shingles array<bigint>"))
+    named = cut(distinct.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "first", F.coalesce("component", "copy").alias("label")))
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     found = signed.select("file", "copy", "n_shingles").join(named.join(groups, "label").select("copy", "component_id"), "copy", "left")
     alone = F.col("n_shingles") == 0
