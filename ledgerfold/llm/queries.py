@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import decontaminate, language, mixing, near_copies, quality, rules, token_files
+from ledgerfold.llm import decontaminate, language, line_copies, mixing, near_copies, quality, rules, token_files
 from ledgerfold.llm.records import SPACES
 
 
@@ -59,6 +59,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("file", "doc_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_copies.drop_line_copies(as_files(table(spark, sf_dir, "documents")))
+    return kept.select(F.col("file").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), F.col("removed").alias("removed_lines"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
     found = decontaminate.find_items(as_files(table(spark, sf_dir, "documents")), items)
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
 }
