@@ -1,3 +1,46 @@
-"""Comparison SQL of this folder's queries, where SQL can express them."""
+"""Comparison SQL of this folder's queries, where SQL can express them.
 
-SQL: dict[str, str] = {}
+Written against the given tables only.  Operators that learn, iterate or write
+files have no entry; their tests compare them with brute force.
+"""
+
+from __future__ import annotations
+
+from ledgerfold.llm.licences import TEMPLATES
+
+_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+
+LICENCES = f"""
+WITH template AS (
+  SELECT row_number() OVER () AS template, licence, {_BIGRAMS.format("w")} AS b
+  FROM (SELECT licence, {_WORDS.format("t")} AS w FROM (VALUES {_VALUES}) v(licence, t))
+), line AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS line_no, 1 AS n_lines, unnest(l) AS piece
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), whole AS (
+  SELECT doc_id, 0 AS line_no, len(string_split(text, chr(10))) AS n_lines, text AS piece FROM documents WHERE contains(text, chr(10))
+), cut_up AS (
+  SELECT doc_id, line_no, n_lines, {_BIGRAMS.format("w")} AS b
+  FROM (SELECT doc_id, line_no, n_lines, {_WORDS.format("piece")} AS w FROM (SELECT * FROM line UNION ALL SELECT * FROM whole))
+), near AS (
+  SELECT doc_id, line_no, n_lines, licence, 2.0 * len(list_intersect(c.b, t.b)) / (len(c.b) + len(t.b)) AS dice
+  FROM (SELECT * FROM cut_up WHERE len(b) > 0) c JOIN template t
+    ON len(c.b) <= len(t.b) * 1.5 AND len(t.b) <= len(c.b) * 1.5 AND len(list_intersect(c.b, t.b)) > 0
+), best AS (
+  SELECT doc_id, line_no, n_lines, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice
+  FROM near WHERE dice >= 0.8 GROUP BY ALL
+), told AS (
+  SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences,
+         string_agg(line_no || ':' || n_lines || ':' || licence, ',' ORDER BY line_no, n_lines) AS found, round(max(dice), 6) AS best_dice
+  FROM best GROUP BY doc_id
+)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(found, '') AS found, best_dice
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op3_license_scans": LICENCES,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import decontaminate, language, line_copies, mixing, near_copies, quality, rules, token_files
+from ledgerfold.llm import decontaminate, language, licences, line_copies, mixing, near_copies, quality, rules, token_files
 from ledgerfold.llm.records import SPACES
 
 
@@ -41,6 +41,13 @@ def op2_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = licences.find_licences(as_files(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["line_no"], x["n_lines"], x["licence"])), ",")
+    best = F.round(F.array_max(F.transform("found", lambda x: x["dice"])), 6)
+    return told.select(F.col("file").alias("doc_id"), F.array_join("licences", ",").alias("licences"), lines.alias("found"), best.alias("best_dice"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge_files(as_files(table(spark, sf_dir, "documents")))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,6 +87,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing_to_target_weights": op2_mixing_to_target_weights,
+    "op3_license_scans": op3_license_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
