@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import decontaminate, language, licences, line_copies, mixing, near_copies, quality, rules, token_files
+from ledgerfold.llm import decontaminate, language, licences, line_copies, mixing, near_copies, quality, repeats, rules, token_files
 from ledgerfold.llm.records import SPACES
 
 
@@ -48,6 +48,11 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("file").alias("doc_id"), F.array_join("licences", ",").alias("licences"), lines.alias("found"), best.alias("best_dice"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = repeats.remove_repeats(as_files(table(spark, sf_dir, "documents")))
+    return told.select(F.col("file").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge_files(as_files(table(spark, sf_dir, "documents")))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,6 +93,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing_to_target_weights": op2_mixing_to_target_weights,
     "op3_license_scans": op3_license_scans,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
