@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
-from ledgerfold.llm.near_copies import groups_of
+from ledgerfold.llm.near_copies import groups_of, sent_once, signatures
 from ledgerfold.llm.records import SPACES
 from ledgerfold.session import cut, ship
 
 GRAM = 6
 BANDS, PER_BAND = 12, 4
 SEEN = 500_000  # lines that a task remembers to send on once
-FILTER_BITS = 25
 _DICE = np.random.default_rng(8)
 _FACTORS = _DICE.integers(1, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -80,17 +79,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(counts)
             found = [np.unique(grams[e - c : e]) for e, c in zip(ends, counts)]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("copy").slice(a, b - a), lists], names=["copy", "shingles"])
-
-
-def _passing(wanted: DataFrame) -> np.ndarray:
-    """A bit map of fixed size that has a bit for every wanted key, and few others."""
-    place = F.pmod("copy", F.lit(1 << FILTER_BITS))
-    words = wanted.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(copy, 64) as int)))").alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():
-        bits[r["at"]] = r["bits"]
-    return bits.view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("copy").slice(a, b - a), lists, signatures(found)], names=["copy", "shingles", "signed"])
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
@@ -103,26 +92,8 @@ def line_groups(lines: DataFrame) -> DataFrame:
     banded = lines.mapInArrow(_banded, "copy bigint, band bigint")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        bits = lines.sparkSession.sparkContext.broadcast(_passing(wanted))
-
-        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set = set()
-            for batch in batches:
-                keys = batch.column("copy").to_numpy()
-                place = keys % (1 << FILTER_BITS)
-                hit = bits.value[place >> 6] >> (keys % 64).astype(np.uint64) & np.uint64(1)
-                fresh = []
-                for k in np.flatnonzero(hit).tolist():
-                    key = int(keys[k])
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(k)
-                if len(seen) > SEEN:
-                    seen.clear()
-                yield batch.take(pa.array(fresh, pa.int64()))
-
-        asked = lines.mapInArrow(passing, "copy bigint, line string").join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
-        return asked.mapInArrow(_sets, "copy bigint, shingles array<bigint>")
+        asked = sent_once(lines, wanted, "copy bigint, line string")
+        return asked.mapInArrow(_sets, "copy bigint, shingles array<bigint>, signed binary")
 
     return groups_of(banded, sets_of, "bigint")
 

@@ -41,6 +41,10 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.stack([least, most], axis=1)
 
 
+def signatures(found: list[np.ndarray]) -> pa.Array:
+    return pa.array([signature(x).tobytes() for x in found], pa.binary())
+
+
 def band_keys(signed: np.ndarray) -> np.ndarray:
     wide = signed.reshape(BANDS, 2 * PER_BAND).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
@@ -64,7 +68,7 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         found = [shingles(t, width) for t in batch.column("text").to_pylist()]
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("copy"), lists], names=["copy", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("copy"), lists, signatures(found)], names=["copy", "shingles", "signed"])
 
 
 def similar(shared, first, second):
@@ -85,48 +89,82 @@ class _Forest:
         return k
 
 
-def _links_of_block(side: np.ndarray, copies: list, labels: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-    """Links between members of a block pair that no earlier link joins, one per join."""
-    signed = np.stack([signature(s).ravel() for s in sets])
-    sizes = np.array([len(s) for s in sets])
-    forest = _Forest(labels)
-    for k in range(len(sets) - 1):
-        near = (signed[k + 1 :] == signed[k]).mean(axis=1) >= LEAST / 100 - MARGIN
-        near &= (100 * np.minimum(sizes[k + 1 :], sizes[k]) >= LEAST * np.maximum(sizes[k + 1 :], sizes[k])) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
-        for m in (np.flatnonzero(near) + k + 1).tolist():
-            a, b = forest.root(k), forest.root(m)
-            if a != b and similar(len(np.intersect1d(sets[k], sets[m], assume_unique=True)), len(sets[k]), len(sets[m])):
-                forest.up[max(a, b)] = min(a, b)
-                yield copies[k], copies[m]
-
+Row = tuple  # of a block pair: side, member, label, and what is compared
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk through rows sorted by block pair, one pair of blocks in memory at a time."""
-    held: list = []
-
-    def links() -> pa.RecordBatch:
-        kind = pa.int64() if isinstance(held[0][2], int) else pa.binary()
-        found = list(_links_of_block(np.array([h[1] for h in held]), [h[2] for h in held], [h[3] for h in held], [h[4] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], names=["a", "b"])
 
+def _blocks(batches: Iterator[pa.RecordBatch], payload) -> Iterator[tuple[tuple, list[Row]]]:
+    """Rows sorted by block pair, one pair of blocks in memory at a time."""
+    now, held = None, []
     for batch in batches:
-        lists = batch.column("shingles")
-        values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = payload(batch)
         names = ("band", "low", "high", "side", "copy", "label")
-        for k, (band, low, high, side, copy, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
-            if held and held[0][0] != (band, low, high):
-                yield links()
-                held.clear()
-            held.append(((band, low, high), side, copy, label, values[ends[k] : ends[k + 1]].copy()))
+        for (*at, side, copy, label), value in zip(zip(*(batch.column(c).to_pylist() for c in names)), values):
+            if now is not None and now != at:
+                yield now, held
+                held = []
+            now = at
+            held.append((side, copy, label, value))
     if held:
-        yield links()
+        yield now, held
+
+
+def _signed(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32) for x in batch.column("signed").to_pylist()]
+
+
+def _shingled(batch: pa.RecordBatch) -> list[np.ndarray]:
+    lists = batch.column("shingles")
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _near(signed: np.ndarray, side: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+    """Members after the k-th that are of another label, may be compared with it, and seem near."""
+    open_ = (label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
+    at = np.flatnonzero(open_) + k + 1
+    return at[(signed[at] == signed[k]).mean(axis=1) >= LEAST / 100 - MARGIN]
+
+
+def _arrays(rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
+    first: dict = {}
+    return np.array([r[0] for r in rows]), np.array([first.setdefault(r[2], len(first)) for r in rows])
+
+
+def _active(shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block pair the members that seem near to one of another label."""
+    for at, rows in _blocks(batches, _signed):
+        (side, label), signed = _arrays(rows), np.stack([r[3] for r in rows])
+        kept = np.zeros(len(rows), bool)
+        for k in range(len(rows) - 1):
+            found = _near(signed, side, label, k)
+            kept[found] = True
+            kept[k] |= len(found) > 0
+        out = [(*at, r[0], r[1], r[2]) for r, yes in zip(rows, kept) if yes]
+        yield W.as_batch(shape, *([x[c] for x in out] for c in range(len(shape))))
+
+
+def _links_of_blocks(shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between members that no earlier link of the block pair joins, one per join."""
+    for _, rows in _blocks(batches, _shingled):
+        (side, label), sets = _arrays(rows), [r[3] for r in rows]
+        signed = np.stack([signature(x).ravel() for x in sets])
+        forest, out = _Forest(label.tolist()), []
+        for k in range(len(rows) - 1):
+            for m in _near(signed, side, label, k).tolist():
+                a, b = forest.root(k), forest.root(m)
+                if a != b and similar(len(np.intersect1d(sets[k], sets[m], assume_unique=True)), len(sets[k]), len(sets[m])):
+                    forest.up[max(a, b)] = min(a, b)
+                    out.append((rows[k][1], rows[m][1]))
+        yield W.as_batch(shape, [x[0] for x in out], [x[1] for x in out])
 
 
 def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_type: str) -> DataFrame:
     """Links inside buckets whose members are not yet of one component.
 
     Members of such a bucket are dealt into blocks, and blocks are compared pair
-    by pair inside tasks; what comes out joins components, it isn't all pairs.
+    by pair inside tasks: by signatures first, which leaves the members that seem
+    near to one of another component, and those on full sets.  What comes out
+    joins components, it isn't all pairs.
     """
     named = members.join(labels, F.col("copy") == F.col("node"), "left").select("band", "copy", F.coalesce("component", "copy").alias("label"))
     open_ = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least <> most")
@@ -134,12 +172,54 @@ def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_t
     dealt = named.join(open_.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = met.select(
-        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "copy", "label",
-        F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"),
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "copy", "label",
     )
-    whole = pairs.join(sets, "copy")
-    sorted_ = whole.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
-    return sorted_.mapInArrow(_compared, f"a {key_type}, b {key_type}")
+    together = lambda rows: rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
+    kind = pa.int64() if key_type == "bigint" else pa.binary()
+    shape = pa.schema([("band", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("copy", kind), ("label", kind)])
+    signed = together(pairs.join(sets.select("copy", "signed"), "copy"))
+    active = cut(signed.mapInArrow(lambda b: _active(shape, b), f"band bigint, low int, high int, side int, copy {key_type}, label {key_type}"))
+    whole = together(active.join(sets.select("copy", "shingles"), "copy"))
+    ends = pa.schema([("a", kind), ("b", kind)])
+    return whole.mapInArrow(lambda b: _links_of_blocks(ends, b), f"a {key_type}, b {key_type}")
+
+
+FILTER_BITS = 25
+SEEN = 500_000  # members that a task remembers to send on once
+
+
+def sent_once(rows: DataFrame, wanted: DataFrame, shape: str) -> DataFrame:
+    """One row each of ``rows`` ``(copy, ...)`` for the members ``wanted``, and few others moved.
+
+    A bit map of fixed size, four megabytes however many members are wanted, goes
+    to the workers and holds most others back before the shuffle; the join after
+    it is exact.
+    """
+    at = F.pmod(F.xxhash64("copy"), F.lit(1 << FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(copy), {1 << FILTER_BITS}) % 64 as int))")).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.collect():  # as many as the map has words, at most
+        bits[r["word"]] = r["bits"]
+    known = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            place = batch.column("__at").to_numpy()
+            hit = known.value[place >> 6] >> (place % 64).astype(np.uint64) & np.uint64(1)
+            keys, fresh = batch.column("copy"), []
+            for k in np.flatnonzero(hit).tolist():
+                key = keys[k].as_py()
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.take(pa.array(fresh, pa.int64())).select(batch.schema.names[:-1])
+
+    moved = rows.filter(F.col("copy").isNotNull()).withColumn("__at", at).mapInArrow(passing, shape)
+    return moved.join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
 
 
 def groups_of(banded: DataFrame, sets_of, key_type: str = "binary") -> DataFrame:
@@ -187,8 +267,8 @@ def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
     signed = cut(texts.mapInArrow(lambda b: _banded(width, b), f"file {kind}, copy binary, n_shingles bigint, bands array<bigint>"))
     distinct = cut(signed.filter("n_shingles > 0").groupBy("copy").agg(F.first("bands").alias("bands"), F.min("file").alias("first")))
     banded = distinct.select("copy", F.explode("bands").alias("band"))
-    one_each = lambda wanted: texts.select("copy", "text").join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
-    labels = groups_of(banded, lambda wanted: one_each(wanted).mapInArrow(lambda b: _sets(width, b), "copy binary, shingles array<bigint>"))
+    one_each = lambda wanted: sent_once(texts.select("copy", "text"), wanted, "copy binary, text string")
+    labels = groups_of(banded, lambda wanted: one_each(wanted).mapInArrow(lambda b: _sets(width, b), "copy binary, shingles array<bigint>, signed binary"))
     named = cut(distinct.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "first", F.coalesce("component", "copy").alias("label")))
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     found = signed.select("file", "copy", "n_shingles").join(named.join(groups, "label").select("copy", "component_id"), "copy", "left")
