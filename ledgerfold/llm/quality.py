@@ -170,7 +170,7 @@ def fit_quality(
     return train(rated, dim, epochs, rate, seed) if rated else (np.zeros(BUCKETS), 0.0)
 
 
-def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: str = "file", **fit) -> DataFrame:
+def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: str = "file", taught: DataFrame | None = None, **fit) -> DataFrame:
     """Score every file's whole text for quality: ``(file, score)``, 1 is best.
 
     Word, word-pair and character n-gram buckets of a text are averaged as
@@ -178,11 +178,12 @@ def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: s
     ``(file, quality)``; see ``fit_quality`` for ``fit``, which also says what
     null ratings do.  One row per row of ``files``, repeated files included; a
     null or empty text scores what the bias alone says; further columns of
-    ``files`` are left out and may have any name.  The model is a vector of
+    ``files`` are left out and may have any name.  ``key`` may be a struct, to
+    take columns along; ``taught`` then has the files to learn from.  The model is a vector of
     ``BUCKETS`` numbers, whatever the size of the data.
     """
     spark = files.sparkSession
-    model = spark.sparkContext.broadcast(fit_quality(files, ratings, **fit))
+    model = spark.sparkContext.broadcast(fit_quality(files if taught is None else taught, ratings, **fit))
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, text).mapInArrow(lambda batches: _scored(*model.value, batches), f"`{key}` {kind}, score double")
 
