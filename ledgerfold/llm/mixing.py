@@ -77,7 +77,7 @@ def _tilts(classes: DataFrame, targets: DataFrame, rounds: int = 60) -> DataFram
             .groupBy("at")
             .agg(_exact(units).alias("f"), _exact(F.when(rate < MOST, units * F.col("x"))).alias("slope"))
         )
-        gap = F.log(F.greatest(F.col("f"), F.lit(1e-300)) / F.col("target"))
+        gap = F.log(F.greatest(F.col("f"), F.lit(1e-300)) / F.greatest(F.col("target"), F.lit(1e-9)))
         low = F.when(gap < 0, F.greatest("low", "tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.least("high", "tilt")).otherwise(F.col("high"))
         step = F.col("tilt") - gap * F.col("f") / F.when(F.col("slope") > 0, F.col("slope"))
