@@ -19,6 +19,7 @@ BANDS, PER_BAND = 12, 4
 SEEN = 500_000  # lines that a task remembers to send on once
 _DICE = np.random.default_rng(8)
 _FACTORS = _DICE.integers(1, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _DICE.integers(0, 1 << 32, BANDS * PER_BAND, dtype=np.uint32)
 
 
 def _line_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +49,8 @@ def _bands(lines: list[str]) -> np.ndarray:
     keys = np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band, np.uint64)
-        for factor in _FACTORS[band * PER_BAND : (band + 1) * PER_BAND]:
-            least = np.minimum.reduceat(short * factor, starts).astype(np.uint64)
+        for k in range(band * PER_BAND, (band + 1) * PER_BAND):
+            least = np.minimum.reduceat(short * _FACTORS[k] + _SHIFTS[k], starts).astype(np.uint64)
             key = W.mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
         keys[:, band] = key
     return keys.view(np.int64)

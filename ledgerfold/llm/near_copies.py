@@ -19,6 +19,7 @@ BLOCK = 512  # members of a bucket that are compared with as many others at once
 MARGIN = 0.17  # below the threshold, four deviations of the estimate
 _DICE = np.random.default_rng(20)
 _FACTORS = _DICE.integers(1, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _DICE.integers(0, 1 << 32, BANDS * PER_BAND, dtype=np.uint32)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -34,7 +35,7 @@ def signature(found: np.ndarray) -> np.ndarray:
     short = (found >> np.uint64(32)).astype(np.uint32)
     least, most = None, None
     for start in range(0, len(short), 1 << 15):
-        moved = _FACTORS[:, None] * short[None, start : start + (1 << 15)]
+        moved = _FACTORS[:, None] * short[None, start : start + (1 << 15)] + _SHIFTS[:, None]
         low, high = moved.min(axis=1), moved.max(axis=1)
         least = low if least is None else np.minimum(least, low)
         most = high if most is None else np.maximum(most, high)
