@@ -8,12 +8,16 @@ as code).
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerfold.functions.text import WS, strip
+from ledgerfold.session import ship
+
 # --- fixed values: token shape, references and error texts --------------------
 TOKEN = r"(\[[^\]]+\]|\d+(?:[.,]\d+)?|[()+\-*/])"
 REFERENCE = r"\[([^\]]+)\]"
@@ -36,12 +40,12 @@ def tokens(expression: Column) -> Column:
 
 def has_unknown_sign(expression: Column) -> Column:
     """Whether something is left once all tokens and spaces are taken out."""
-    return F.regexp_replace(expression, rf"{TOKEN}|\s", "") != ""
+    return F.regexp_replace(expression, rf"{TOKEN}|{WS}", "") != ""
 
 
 def references(expression: Column) -> Column:
     """Norm ids a formula refers to, in order."""
-    return F.transform(F.regexp_extract_all(expression, F.lit(REFERENCE), F.lit(1)), lambda inner: F.trim(inner))
+    return F.transform(F.regexp_extract_all(expression, F.lit(REFERENCE), F.lit(1)), lambda inner: strip(inner))
 
 
 def _split(text: str) -> list[str]:
@@ -63,6 +67,7 @@ def calculate(text: str, known: dict[str, float | None]) -> float | None:
     asked priority, each taking a right side of higher priority.
     """
     rest = _split(text or "")[::-1]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(rest) + 1000))  # brackets nest as deep as they like
     if not rest:
         raise ValueError(EMPTY)
     missing = False
@@ -152,6 +157,7 @@ def resolve(rules: DataFrame, norms: DataFrame) -> DataFrame:
 
 def evaluate_rules(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """Mass and volume of every formula; an error in either takes both."""
+    ship(rules.sparkSession)
     resolved = resolve(rules.select("key", "expression"), norms)
     done = resolved.withColumn("m", evaluate("expression", "ids", "masses")).withColumn(
         "v", evaluate("expression", "ids", "volumes")
@@ -173,6 +179,7 @@ def unknown_references(rules: DataFrame, norms: DataFrame) -> DataFrame:
 
 def validate(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """First problem of every formula, or null: signs, then references, then form."""
+    ship(rules.sparkSession)
     resolved = resolve(rules.select("key", "expression"), norms)
     ones = F.transform("ids", lambda _: F.lit(1.0))
     tried = resolved.withColumn("ones", ones).withColumn("t", evaluate("expression", "ids", "ones"))
@@ -198,30 +205,31 @@ def replace_references(rules: DataFrame, table: DataFrame, pattern: str, key: Co
         inner.withColumn("ref", key)
         .join(table, "ref")
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("inner", "replacement"))).alias("changes"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("inner", "replacement"))).alias("changes"))
     )
     opening = "[@" if pattern == NAMED_REFERENCE else "["
-    changed = F.aggregate(
-        "changes",
-        F.col("expression"),
-        lambda text, c: F.replace(
-            text,
-            F.concat(F.lit(opening), c["inner"], F.lit("]")),
-            F.concat(F.lit(before), c["replacement"], F.lit(after)),
-        ),
+    # one pass: the texts between the references, each with what follows it
+    cut_up = rules.join(found, "key", "left").withColumns(
+        {"texts": F.split("expression", pattern), "inners": F.regexp_extract_all("expression", F.lit(pattern), F.lit(1))}
+    )
+
+    def with_reference(inner: Column, at: Column) -> Column:
+        new = F.concat(F.lit(before), F.try_element_at("changes", inner), F.lit(after))
+        return F.concat(F.get("texts", at), F.coalesce(new, F.concat(F.lit(opening), inner, F.lit("]"))))
+
+    changed = F.concat(F.array_join(F.transform("inners", with_reference), ""), F.get("texts", F.size("inners")))
+    return cut_up.withColumn("expression", F.when(F.col("changes").isNull(), F.col("expression")).otherwise(changed)).drop(
+        "changes", "texts", "inners"
     )
-    return rules.join(found, "key", "left").withColumn(
-        "expression", F.when(F.col("changes").isNull(), F.col("expression")).otherwise(changed)
-    ).drop("changes")
 
 
 def humanize(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """Formulas with norm names in guillemets in place of ids."""
     table = norms.select(F.col("id").alias("ref"), F.col("name").alias("replacement")).filter("replacement <> ''")
-    return replace_references(rules, table, REFERENCE, F.trim("inner"), "«", "»")
+    return replace_references(rules, table, REFERENCE, strip(F.col("inner")), "«", "»")
 
 
 def portable(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """Formulas with ``[@name]`` in place of ``[id]``, to outlive a new numbering."""
     table = norms.select(F.col("id").alias("ref"), F.col("name").alias("replacement"))
-    return replace_references(rules, table, r"\[([^\]@]+)\]", F.trim("inner"), "[@", "]")
+    return replace_references(rules, table, r"\[([^\]@]+)\]", strip(F.col("inner")), "[@", "]")

@@ -28,10 +28,11 @@ def detect_kinds(files: DataFrame, grids: DataFrame) -> DataFrame:
         F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("row_idx", row_text.alias("text")))).alias("rows")
     )
     texts = titles.groupBy("file").agg(
-        F.array_join(F.sort_array(F.collect_list("title")), " ").alias("titles"),
-        F.array_join(F.flatten(F.sort_array(F.collect_list(F.col("rows.text")))), " ").alias("body"),
+        F.sort_array(F.collect_list(F.struct("table_idx", "title", F.col("rows.text").alias("body")))).alias("sheets")
     )
-    header = normalize(F.concat_ws(" ", "titles", "body"))
+    titles = F.array_join(F.transform("sheets", lambda s: s["title"]), " ")
+    body = F.array_join(F.flatten(F.transform("sheets", lambda s: s["body"])), " ")
+    header = normalize(F.concat_ws(" ", titles, body))
     name, text = F.col("file"), F.col("header")
     kind = (
         F.when(name.rlike(DOCUMENT_FILE), "norms")

@@ -280,24 +280,35 @@ def by_size(counted: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("n_rows"), "first_file", "first_row")
 
 
-def totals(cells: DataFrame) -> DataFrame:
-    """Totals over all files; units count as known only if every file has the column."""
+def totals(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """Totals over all files; units count as known only if every file has the column.
+
+    Files are those of ``layout``: one that has a header and no row counts too.
+    """
+    known = layout.agg((F.count_if(F.col("units").isNull()) == 0).alias("has_units"))
     return cells.agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum("n_zero"), F.lit(0)).alias("zero_rows"),
         F.coalesce(F.sum("n_unknown"), F.lit(0)).alias("rows_without_units"),
-        (F.coalesce(F.sum("n_without_column"), F.lit(0)) == 0).alias("has_units"),
-    )
+    ).withColumn("has_units", known.scalar())
 
 
-def file_stats(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("file").agg(
-        F.sum("n_rows").alias("n_rows"),
-        (F.sum("n_without_column") == 0).alias("has_units"),
-        F.sum("n_unreadable").alias("warnings_total"),
+def file_stats(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """Rows, known units and warnings of every file of ``layout``, without rows too."""
+    files = layout.groupBy("file").agg(F.bool_and(F.col("units").isNotNull()).alias("has_units"))
+    counted = cells.groupBy("file").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unreadable").alias("warnings_total"))
+    none = F.lit(0).cast("bigint")
+    return files.join(counted, "file", "left").select(
+        "file", F.coalesce("n_rows", none).alias("n_rows"), "has_units", F.coalesce("warnings_total", none).alias("warnings_total")
     )
 
 
+def unread_files(grids: DataFrame, layout: DataFrame) -> DataFrame:
+    """Files that no layout reads, with the reason and the number of their rows."""
+    landed = grids.groupBy("file").agg(F.count("*").alias("n_rows"))
+    return landed.join(layout.select("file").distinct(), "file", "left_anti").select("file", F.lit("no-header").alias("reason"), "n_rows")
+
+
 def distinct_names(cells: DataFrame) -> DataFrame:
     """Distinct non-empty spellings of category, zone and municipality per file."""
     counts = [

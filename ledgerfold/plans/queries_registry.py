@@ -15,6 +15,18 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.typed_rows(body, registry.layouts(body, top=extracts.registry_heads(spark, sf_dir)))
 
 
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.layouts(extracts.registry_body(spark, sf_dir), top=extracts.registry_heads(spark, sf_dir))
+
+
+def _odd_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All extracts, one more that has a header alone, and one that has none."""
+    heads, body = extracts.registry_heads(spark, sf_dir), extracts.registry_body(spark, sf_dir)
+    named = lambda rows, file, new: rows.filter(F.col("file") == file).withColumn("file", F.lit(new))
+    body = body.unionByName(named(body, "extract_2.xlsx", "extract_9.xlsx"))
+    return body, registry.layouts(body, top=heads.unionByName(named(heads, "extract_1.xlsx", "extract_0.xlsx")))
+
+
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.cube(_rows(spark, sf_dir))
 
@@ -86,11 +98,16 @@ def registry_municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.totals(_cube(spark, sf_dir))
+    return registry.totals(_cube(spark, sf_dir), _layout(spark, sf_dir))
 
 
 def registry_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.file_stats(_cube(spark, sf_dir))
+    body, layout = _odd_files(spark, sf_dir)
+    return registry.file_stats(registry.cube(registry.typed_rows(body, layout)), layout)
+
+
+def unread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.unread_files(*_odd_files(spark, sf_dir))
 
 
 def registry_distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +132,7 @@ QUERIES = {
         registry_municipalities,
         registry_totals,
         registry_file_stats,
+        unread_files,
         registry_distinct_names,
         registry_warnings,
     )

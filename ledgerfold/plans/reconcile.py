@@ -38,12 +38,17 @@ class Reconciliation:
     def __init__(self, inputs: Inputs):
         self.inputs = inputs
 
+    @cached_property
+    def registry_layout(self) -> DataFrame:
+        return registry.layouts(self.inputs.registry, self.inputs.registry_layouts, self.inputs.registry_top)
+
+    @cached_property
+    def unread_files(self) -> DataFrame:
+        return registry.unread_files(self.inputs.registry, self.registry_layout)
+
     @cached_property
     def cube(self) -> DataFrame:
-        grids = self.inputs.registry
-        layout = registry.layouts(grids, self.inputs.registry_layouts, self.inputs.registry_top)
-        rows = registry.typed_rows(grids, layout)
-        return cut(registry.cube(rows))
+        return cut(registry.cube(registry.typed_rows(self.inputs.registry, self.registry_layout)))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -59,7 +64,7 @@ class Reconciliation:
 
     @cached_property
     def registry_totals(self) -> DataFrame:
-        return registry.totals(self.cube)
+        return registry.totals(self.cube, self.registry_layout)
 
     @cached_property
     def form_rows(self) -> DataFrame:
@@ -114,7 +119,7 @@ class Reconciliation:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return measures.assign_targets(self.groups, self.zone_mapping, self.category_mapping, self.form_rows)
+        return cut(measures.assign_targets(self.groups, self.zone_mapping, self.category_mapping, self.form_rows))
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -130,11 +135,11 @@ class Reconciliation:
 
     @cached_property
     def results(self) -> DataFrame:
-        return measures.results(self.form_rows, self.targets, self.norms_of)
+        return cut(measures.results(self.form_rows, self.targets, self.norms_of))
 
     @cached_property
     def unassigned(self) -> DataFrame:
-        return measures.unassigned(self.assigned, self.parts, self.targets, self.form_rows)
+        return cut(measures.unassigned(self.assigned, self.parts, self.targets, self.form_rows))
 
     @cached_property
     def balance(self) -> DataFrame:
@@ -146,8 +151,10 @@ class Reconciliation:
 
     @cached_property
     def issues(self) -> DataFrame:
-        return C.all_issues(
-            self.balance, self.unassigned, self.results, self.norm_mapping, self.norms, self.registry_totals
+        return cut(
+            C.all_issues(
+                self.balance, self.unassigned, self.results, self.norm_mapping, self.norms, self.registry_totals
+            )
         )
 
     @cached_property

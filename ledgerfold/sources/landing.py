@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.text import let
 from ledgerfold.plans import report
 from ledgerfold.plans.reconcile import Reconciliation
 
@@ -18,29 +21,42 @@ def read_grids(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(GRID_SCHEMA).parquet(*paths)
 
 
-def read_csv_extracts(spark: SparkSession, *paths: str, width: int = 32, separator: str = ",") -> DataFrame:
+def read_csv_extracts(spark: SparkSession, *paths: str, width: int | None = None, separator: str = ",") -> DataFrame:
     """CSV extracts as grids, with the name of its file on every row.
 
-    Columns are read by place, as their headers are not known in advance.  A
-    large file is split over tasks, so rows are numbered within their block and
-    the blocks are then set one after the other.
+    Lines are read whole and parted here, so rows may have any number of cells,
+    blank lines count and ``row_idx`` is the number of the line, from 0.  Quoted
+    cells may hold separators and doubled quotes; a quoted line break is not put
+    together again, see ``broken_csv_lines``.  A large file is split over tasks,
+    so lines are numbered within their block and the blocks are then set one
+    after the other.  ``width`` is accepted for older callers and limits nothing.
     """
-    names = [f"c{i}" for i in range(width)]
-    lines = spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", separator).csv(list(paths))
-    cells = F.transform(F.array(*names), lambda c: F.coalesce(c, F.lit("")))
-    last = F.array_max(F.transform(cells, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
     block = F.col("_metadata.file_block_start")
-    numbered = lines.select(
-        F.col("_metadata.file_name").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("order"), F.slice(cells, F.lit(1), last).alias("cells")
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_name").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("order"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")
     )
-    firsts = numbered.groupBy("file", "block").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    firsts = lines.groupBy("file", "block").agg(F.min("order").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = firsts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return numbered.join(bases.select("file", "block", "first", "base"), ["file", "block"]).select(
-        "file", F.lit(0).alias("table_idx"), F.lit("").alias("title"), (F.col("order") - F.col("first") + F.col("base")).alias("row_idx"), "cells"
+    return lines.join(bases.select("file", "block", "first", "base"), ["file", "block"]).select(
+        "file", F.lit(0).alias("table_idx"), F.lit("").alias("title"), (F.col("order") - F.col("first") + F.col("base")).alias("row_idx"), csv_cells(F.col("line"), separator).alias("cells")
     )
 
 
+def csv_cells(line: Column, separator: str = ",") -> Column:
+    """Cells of one CSV line; empty ones at the end are left out."""
+    sep = re.escape(separator)
+    found = F.regexp_extract_all(line, F.lit(f'(?:^|{sep})("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+    plain = F.transform(found, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return let(plain, lambda cells: F.slice(cells, F.lit(1), F.coalesce(F.array_max(F.transform(cells, lambda c, i: F.when(c != "", i + 1).otherwise(0))), F.lit(0))))
+
+
+def broken_csv_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``(file, line)`` of lines with a quote that they don't close: a cell broken over lines."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    return lines.filter(F.length(F.regexp_replace("line", '[^"]+', "")) % 2 == 1)
+
+
 def read_cells(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(CELL_SCHEMA).parquet(*paths)
 

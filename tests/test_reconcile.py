@@ -100,8 +100,9 @@ def test_registry_header_in_any_order(spark):
 
 def test_extract_without_units_is_marked(spark):
     rows = grid(spark, "a", [("Муниципальное образование", "Категория потребителя", "Зона деятельности"), ("Округ", "Гостиницы", "Север")])
-    cube = registry.cube(registry.typed_rows(rows, registry.layouts(rows)))
-    totals = registry.totals(cube).first()
+    layout = registry.layouts(rows)
+    cube = registry.cube(registry.typed_rows(rows, layout))
+    totals = registry.totals(cube, layout).first()
     assert (totals["has_units"], totals["rows_without_units"], totals["total_rows"]) == (False, 1, 1)
     group = registry.groups(cube).first()
     assert (group["sources"], group["units_known"], group["municipality"]) == (1, False, "Округ")
@@ -230,7 +231,20 @@ def test_extracts_are_read_together(spark, tmp_path):
     for name in ("a", "b"):
         grid(spark, name, [("Категория", "Зона"), ("Гостиницы", "Север")]).write.parquet(str(tmp_path / name))
     rows = read_grids(spark, str(tmp_path / "a"), str(tmp_path / "b"))
-    assert registry.file_stats(registry.cube(registry.typed_rows(rows, registry.layouts(rows)))).count() == 2
+    layout = registry.layouts(rows)
+    assert registry.file_stats(registry.cube(registry.typed_rows(rows, layout)), layout).count() == 2
+
+
+def test_files_without_rows_or_header_are_told(spark):
+    header = ("Категория потребителя", "Зона деятельности")
+    rows = grid(spark, "full", [header, ("Гостиницы", "Север")]).unionByName(grid(spark, "bare", [header])).unionByName(grid(spark, "none", [("x", "y"), ("1", "2")]))
+    layout = registry.layouts(rows)
+    cube = registry.cube(registry.typed_rows(rows, layout))
+    stats = {r["file"]: (r["n_rows"], r["has_units"], r["warnings_total"]) for r in registry.file_stats(cube, layout).collect()}
+    assert stats == {"full": (1, False, 0), "bare": (0, False, 0)}
+    assert [tuple(r) for r in registry.unread_files(rows, layout).collect()] == [("none", "no-header", 2)]
+    only = grid(spark, "bare", [header])
+    assert not registry.totals(registry.cube(registry.typed_rows(only, registry.layouts(only))), registry.layouts(only)).first()["has_units"]
 
 
 def test_blank_rows_do_not_count(spark):

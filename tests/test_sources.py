@@ -53,3 +53,27 @@ def test_last_edit_of_a_rule_counts(spark):
     assert laid == {"a": ("y", "manual", False), "c": ("m", "auto", True)}
     taken_out = rules.overlay_targets(mapping, edits.filter("key = 'a'").limit(1).withColumn("template_key", F.lit("")))
     assert {r["key"]: r["status"] for r in taken_out.collect()}["a"] == "ignored"
+
+
+def test_csv_of_any_width_with_blank_lines(spark, tmp_path):
+    from ledgerfold.sources.landing import broken_csv_lines, read_csv_extracts
+
+    wide = ",".join(str(k) for k in range(45))
+    (tmp_path / "a.csv").write_text('Реестр,,\n\n"Категория, вид","с ""кавычками""",\n' + wide + '\n"не закрыта\n', encoding="utf-8")
+    rows = {r["row_idx"]: r["cells"] for r in read_csv_extracts(spark, str(tmp_path / "a.csv")).collect()}
+    assert rows == {0: ["Реестр"], 1: [], 2: ["Категория, вид", 'с "кавычками"'], 3: [str(k) for k in range(45)], 4: ['"не закрыта']}
+    assert [r["line"] for r in broken_csv_lines(spark, str(tmp_path / "a.csv")).collect()] == ['"не закрыта']
+
+
+def test_formulas_with_odd_blanks_brackets_and_depth(spark):
+    from ledgerfold.operators import formula
+
+    norms = spark.createDataFrame([("n1", "площадь [n2]", 2.0, 3.0), ("n2", "прочее", 5.0, 7.0)], "id string, name string, mass double, volume double")
+    deep = "(" * 3000 + "[n1]" + ")" * 3000
+    rules = spark.createDataFrame([("a", "[ n1 ] + [n2]"), ("b", deep), ("c", "[n1] + [zz]")], "key string, expression string")
+    got = {r["key"]: (r["formula_mass"], r["formula_error"]) for r in formula.evaluate_rules(rules, norms).collect()}
+    assert got["a"] == (7.0, None) and got["b"] == (2.0, None)
+    problems = {r["key"]: r["problem"] for r in formula.validate(rules, norms).collect()}
+    assert problems["a"] is None and "zz" in problems["c"]
+    texts = {r["key"]: r["expression"] for r in formula.humanize(rules.filter("key = 'a'"), norms).collect()}
+    assert texts == {"a": "«площадь [n2]» + «прочее»"}
