@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.text import let
 from ledgerfold.session import cut
 
 LEAST = 0.8
@@ -52,11 +53,6 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is worked out once, wherever the optimiser moves it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def bigrams(text: Column) -> Column:
     """Distinct hashes of two words in a row; none for fewer than two words."""
     none = F.array().cast("array<bigint>")
@@ -65,7 +61,7 @@ def bigrams(text: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda at: F.xxhash64(F.get(words, at), F.get(words, at + 1)))
         return F.when(F.size(words) >= 2, F.array_distinct(each)).otherwise(none)
 
-    return _let(plain_words(text), pairs)
+    return let(plain_words(text), pairs)
 
 
 def find_licences(files: DataFrame, templates: DataFrame | None = None, key: str = "file", least: float = LEAST) -> DataFrame:
@@ -113,7 +109,7 @@ def find_licences(files: DataFrame, templates: DataFrame | None = None, key: str
     pieces = as_lines.unionByName(one).unionByName(paragraphs)
     # a piece with n distinct bigrams has 2 n letters or digits and a mark between any two words
     sized = pieces.filter(F.length("piece") >= 2 * int(low) + 1)
-    fitting = _let(bigrams(F.col("piece")), lambda b: F.when((F.size(b) >= low) & (F.size(b) <= high), b))
+    fitting = let(bigrams(F.col("piece")), lambda b: F.when((F.size(b) >= low) & (F.size(b) <= high), b))
     cut_up = sized.select("id", "line_no", "n_lines", fitting.alias("bigrams"))
     each = cut_up.select("id", "line_no", "n_lines", F.size("bigrams").alias("size_p"), F.explode("bigrams").alias("bigram"))
     wanted = known.select("template", "licence", "size_t", F.explode("bigrams").alias("bigram"))
