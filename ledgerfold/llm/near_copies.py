@@ -16,6 +16,7 @@ from ledgerfold.session import cut, ship
 LEAST = 80  # per cent of the union that two sets must share
 BANDS, PER_BAND = 24, 2  # permutations per band; each gives a minimum and a maximum
 BLOCK = 512  # members of a bucket that are compared with as many others at once
+SAME = 1 << 30  # side of members that are compared with their own block
 MARGIN = 0.17  # below the threshold, four deviations of the estimate
 _DICE = np.random.default_rng(20)
 _FACTORS = _DICE.integers(1, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -121,7 +122,7 @@ def _shingled(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def _near(signed: np.ndarray, side: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
     """Members after the k-th that are of another label, may be compared with it, and seem near."""
-    open_ = (label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
+    open_ = (label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) | (side[k] == SAME))
     at = np.flatnonzero(open_) + k + 1
     return at[(signed[at] == signed[k]).mean(axis=1) >= LEAST / 100 - MARGIN]
 
@@ -162,19 +163,28 @@ def _links_of_blocks(shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Ite
 def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_type: str) -> DataFrame:
     """Links inside buckets whose members are not yet of one component.
 
-    Members of such a bucket are dealt into blocks, and blocks are compared pair
-    by pair inside tasks: by signatures first, which leaves the members that seem
+    Members of such a bucket are dealt into blocks, those of its largest component
+    apart from the rest, and blocks are compared pair by pair inside tasks, but
+    never two of the largest component: by signatures first, which leaves the members that seem
     near to one of another component, and those on full sets.  What comes out
     joins components, it isn't all pairs.
     """
     named = members.join(labels, F.col("copy") == F.col("node"), "left").select("band", "copy", F.coalesce("component", "copy").alias("label"))
-    open_ = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least <> most")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = named.join(open_.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shares = named.groupBy("band", "label").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = largest.filter(F.col("n") > F.col("top.n")).select(
+        "band", F.col("top.label").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("n") - F.col("top.n")).alias("rests")
+    )
+    # members of the largest component have blocks below zero and meet the others only
+    of_top = F.col("label") == F.col("top")
+    block = F.when(of_top, -1 - F.pmod(F.xxhash64("copy"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("copy"), F.col("rests"))).cast("int")
+    dealt = named.join(open_, "band").withColumn("block", block)
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+    met = dealt.withColumn("other", F.explode(F.when(of_top, rests).otherwise(F.concat(F.sequence(-F.col("tops"), F.lit(-1)), rests))))
     pairs = met.select(
         "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "copy", "label",
+        F.when(F.col("block") == F.col("other"), SAME).otherwise(F.col("block")).alias("side"), "copy", "label",
     )
     together = lambda rows: rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
     kind = pa.int64() if key_type == "bigint" else pa.binary()
@@ -240,8 +250,11 @@ def groups_of(banded: DataFrame, sets_of, key_type: str = "binary") -> DataFrame
     compared = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = cut(compared.filter(similar(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"))
-    rest = cut(_rest_of_links(members, connected(links), sets, key_type))
-    return connected(links.unionByName(rest))
+    labels = connected(links)
+    rest = cut(_rest_of_links(members, labels, sets, key_type))
+    if rest.isEmpty():
+        return labels
+    return connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
 
 def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
