@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ledgerfold.functions.text import ENDINGS, NUMBER_SHAPE, SHORTEST_STEM, STOP_WORDS
+from ledgerfold.functions.text import ENDINGS, NUMBER_SHAPE, SHORTEST_STEM, STOP_WORDS, WS
 
 
 def _quoted(words: tuple[str, ...]) -> str:
@@ -18,7 +18,7 @@ def _quoted(words: tuple[str, ...]) -> str:
 def register(spark: SparkSession) -> list[str]:
     """Register the text functions; returns their names."""
     stem = "^(.{%d,}?)(?:%s)$" % (SHORTEST_STEM, "|".join(ENDINGS))
-    number = NUMBER_SHAPE.replace("\\", "\\\\")
+    dotted = f"regexp_replace(regexp_replace(coalesce(x, ''), r'<[^>]*>|\\*|{WS}', ''), '^([^,]*),', '$1.')"
     bodies = {
         "name_key(x STRING) RETURNS STRING": (
             "trim(regexp_replace(replace(lower(coalesce(x, '')), 'ё', 'е'), '[^0-9a-zа-я]+', ' '))"
@@ -32,8 +32,7 @@ def register(spark: SparkSession) -> list[str]:
             "ELSE 1D - levenshtein(a, b) / greatest(length(a), length(b)) END"
         ),
         "read_number(x STRING) RETURNS DOUBLE": (
-            "CASE WHEN regexp_replace(regexp_replace(coalesce(x, ''), '<[^>]*>|\\\\*|\\\\s', ''), '^([^,]*),', '$1.') "
-            f"RLIKE '{number}' THEN try_cast(regexp_replace(regexp_replace(x, '<[^>]*>|\\\\*|\\\\s', ''), '^([^,]*),', '$1.') AS DOUBLE) END"
+            f"CASE WHEN {dotted} RLIKE r'{NUMBER_SHAPE}' AND abs(try_cast({dotted} AS DOUBLE)) < double('Infinity') THEN try_cast({dotted} AS DOUBLE) END"
         ),
     }
     for signature, body in bodies.items():

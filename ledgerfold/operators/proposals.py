@@ -190,9 +190,12 @@ def validate_registry_proposals(grids: DataFrame, proposals: DataFrame) -> DataF
     rows categories must not be numbers and some units must be positive.
     """
     top = grids.filter(F.col("row_idx") < SAMPLE_ROWS + 2).filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
-    sample = top.groupBy(*TABLE).agg(
-        F.least(F.count("*"), F.lit(SAMPLE_ROWS)).alias("sample_rows"),
-        F.least(F.max(F.size("cells")), F.lit(SAMPLE_COLUMNS)).alias("width"),
+    ordered = F.sort_array(F.collect_list(F.struct("row_idx", F.size("cells").alias("n"))))
+    sampled = top.groupBy(*TABLE).agg(F.slice(ordered, 1, SAMPLE_ROWS).alias("sampled"))
+    sample = sampled.select(
+        *TABLE,
+        F.size("sampled").cast("bigint").alias("sample_rows"),
+        F.least(F.array_max(F.transform("sampled", lambda r: r["n"])), F.lit(SAMPLE_COLUMNS)).alias("width"),
     )
     sheet = proposals.withColumn("table_idx", F.col("sheet")).join(sample, TABLE, "left")
     columns = F.array(*[F.col(r) for r in ROLES])

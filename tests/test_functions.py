@@ -150,3 +150,13 @@ def test_formula_rules(spark):
     assert shown["a"] == "«Гостиницы» + 2"
     values = {r["key"]: (r["formula_mass"], r["formula_volume"]) for r in formula.evaluate_rules(rules, norms).collect()}
     assert values == {"a": (4.0, None), "b": (None, None), "c": (None, None)}
+
+
+def test_numbers_read_alike_in_sql_and_columns(spark):
+    from ledgerfold.functions.registered import register
+
+    register(spark)
+    cells = ["1 234,5", "1e999", "12", "-3,5 <*>", "1.", ".5", "", None, "12d", "1e3", "1 2,3*", "a", " 1,2", "+7"]
+    rows = spark.createDataFrame([(c,) for c in cells], "x string")
+    both = rows.select(F.expr("read_number(x)").alias("a"), text.parse_number(F.col("x")).alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both]
