@@ -18,6 +18,7 @@ from ledgerfold.session import cut, ship
 LEAST = 400  # bytes
 GRAM = 64  # bytes that mark a sampled suffix; a power of two
 CHUNK = 1 << 20  # windows of one text that are looked at together
+HELD = 4000  # surroundings that are sent on together
 CROWD = 50_000  # suffixes with one gram that a task holds at once
 _BASE = 0x9E3779B97F4A7C15
 
@@ -70,8 +71,9 @@ def _contexts(raw: bytes, at: np.ndarray, least: int, gram: int) -> Iterator[tup
         yield start, end, xxhash.xxh3_64_intdigest(raw[start:end], place - start)
 
 
-def _raw_texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.to_pylist()]
+def _raw_texts(column: pa.Array) -> Iterator[bytes]:
+    """Texts one by one; a batch is never copied as a whole."""
+    return (x.as_py() or b"" for x in column)
 
 
 def _anchored(least: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +254,18 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, least: int, gram: int) ->
     """
     known = texts.sparkSession.sparkContext.broadcast(_bit_map(wanted.select(F.col("context").alias("key"))))
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["gram", "context", "left", "right"])
+
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             rows = []
             for raw in _raw_texts(batch.column("raw")):
+                if len(rows) > HELD:
+                    yield made(rows)
+                    rows.clear()
                 at, hashes = anchors(np.frombuffer(raw, np.uint8), least, gram)
                 for place, mark, (start, end, context) in zip(at.tolist(), hashes.view(np.int64).tolist(), _contexts(raw, at, least, gram)):
                     signed = context - (1 << 64) if context >> 63 else context
@@ -266,8 +275,7 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, least: int, gram: int) ->
                         rows.append((mark, signed, raw[start:place], raw[place:end]))
             if len(seen) > SEEN:
                 seen.clear()
-            columns = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["gram", "context", "left", "right"])
+            yield made(rows)
 
     return texts.select("raw").mapInArrow(cut_out, "gram bigint, context bigint, left binary, right binary")
 
