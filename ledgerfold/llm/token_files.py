@@ -18,6 +18,8 @@ from ledgerfold.session import cut, shared_folder, ship
 
 END = 0
 BLOCK_TOKENS = 1 << 19  # ids in a block, its last file's rest aside
+MARK = "\x01"
+_STOP = re.compile(f"([.,])(?={MARK})(?<=[^\\W_][.,])")
 _SAFE_SPLIT = re.compile(r"(?<=\S)(?= \S)")
 #: Length of each of the four values that a control byte speaks for.
 LENGTHS = np.array([[(byte >> (2 * k) & 3) + 1 for k in range(4)] for byte in range(256)], np.uint8)
@@ -56,13 +58,16 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 def pieces_of(text: str) -> list[str]:
     """A text in pieces that a byte-level tokenizer encodes apart from each other.
 
-    A blank between two characters that are no white space always begins a new
-    word of such a tokenizer, so the text can be parted before it.
+    A blank or a line feed between two characters that are no white space always
+    begins a new word of such a tokenizer, and so does a stop or comma between a
+    letter or digit and white space.  So most pieces are plain words, and few of
+    them are new.
     """
-    if "  " in text or " \n" in text or "\n " in text or any(c.isspace() and c not in " \n" for c in set(text)) or text[:1].isspace() or text[-1:].isspace():
+    odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or MARK in text
+    if odd or text[:1].isspace() or text[-1:].isspace() or any(c.isspace() and c not in " \n" for c in set(text)):
         return _SAFE_SPLIT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[f" {x}" for x in rest]]
+    marked = text.replace(" ", f"{MARK} ").replace("\n", f"{MARK}\n{MARK}") + MARK
+    return _STOP.sub(f"{MARK}\\1", marked).split(MARK)[:-1]
 
 
 def _table_of(path: str) -> W.WordTable:
@@ -73,22 +78,49 @@ def _table_of(path: str) -> W.WordTable:
 
         known = Tokenizer.from_file(path)
         known.encode_special_tokens = True  # their strings in a text are ordinary text
+        blank = np.zeros(known.get_vocab_size() + 1, bool)
+        for token, id_ in known.get_vocab().items():
+            blank[id_] = token[:1] == "\u0120"  # how byte-level tokens spell a blank
+
+        def apart(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in known.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+        def together(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces that begin with their only blank: encoded in a row, parted at the blanks."""
+            parts = [pieces[k : k + 100] for k in range(0, len(pieces), 100)]
+            rows = known.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+            flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+            for part, row in zip(parts, rows):
+                ids = np.array(row.ids, np.uint32)
+                cuts = np.flatnonzero(blank[ids])
+                fits = len(cuts) == len(part) and cuts[0] == 0
+                more = (ids, np.diff(np.append(cuts, len(ids)))) if fits else apart(part)
+                flat.append(more[0])
+                lengths.append(more[1])
+            return np.concatenate(flat), np.concatenate(lengths)
 
         def work_out(new: list[str]) -> tuple[np.ndarray, ...]:
-            found = [e.ids for e in known.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            table, flat = _TABLES[path], np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-            if not table.at or len(table.at) == len(new):  # emptied before, or the first
-                table.flat, table.used = np.empty(0, np.uint32), 0
-            start, table.used = table.used, table.used + len(flat)
-            if table.used > len(table.flat):
-                grown = np.empty(max(table.used, 2 * len(table.flat)), np.uint32)
+            plain = np.array([len(q := p.split()) == 1 and p == f" {q[0]}" for p in new], bool)
+            lengths = np.empty(len(new), np.int64)
+            starts = np.empty(len(new), np.int64)
+            ids, lengths[plain] = together([new[k] for k in np.flatnonzero(plain).tolist()])
+            more, lengths[~plain] = apart([new[k] for k in np.flatnonzero(~plain).tolist()])
+            starts[plain] = np.cumsum(lengths[plain]) - lengths[plain]
+            starts[~plain] = len(ids) + np.cumsum(lengths[~plain]) - lengths[~plain]
+            table, flat = _TABLES[path], np.concatenate([ids, more])
+            row = len(table.at) - len(new)
+            start = int((table.columns[0][:row] + table.columns[1][:row]).max()) if row else 0
+            used = start + len(flat)
+            if used > len(table.flat):
+                grown = np.empty(max(used, 2 * len(table.flat)), np.uint32)
                 grown[:start] = table.flat[:start]
                 table.flat = grown
-            table.flat[start : table.used] = flat
-            return start + np.cumsum(lengths) - lengths, lengths
+            table.flat[start:used] = flat
+            return start + starts, lengths
 
         _TABLES[path] = W.WordTable(work_out, limit=400_000)
+        _TABLES[path].flat = np.empty(0, np.uint32)
     return _TABLES[path]
 
 

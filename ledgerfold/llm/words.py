@@ -14,8 +14,10 @@ SLICE = 1 << 21  # characters handled at once
 class WordTable:
     """Values of words, worked out once per word and then looked up.
 
-    ``work_out`` gives arrays, one row per new word.  The table is emptied when
-    it holds ``limit`` words, so its memory is bounded; results never depend on it.
+    ``work_out`` gives arrays, one row per new word.  When the table holds
+    ``limit`` words the later ones are forgotten and the first third, among which
+    the frequent ones are, stays; so memory is bounded, and results never depend
+    on it.
     """
 
     def __init__(self, work_out: Callable[[list], tuple[np.ndarray, ...]], limit: int = 600_000):
@@ -26,7 +28,7 @@ class WordTable:
     def rows(self, words: list) -> np.ndarray:
         """Row number of every word; ``columns`` has the values of the rows."""
         if len(self.at) > self.limit:
-            self.at.clear()
+            self.at = {w: row for w, row in self.at.items() if row < self.limit // 3}
         rows = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(rows < 0)
         if len(unknown):
