@@ -115,7 +115,7 @@ def _posterior(rules: list[str], accuracy: dict[str, tuple[float, float]], share
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, least: float = 0.55, most: float = 0.999) -> tuple[dict[str, tuple[float, float]], float]:
+def estimate(patterns: DataFrame, rules: list[str], rounds: int = 12, least: float = 0.55, most: float = 0.999) -> tuple[dict[str, tuple[float, float]], float]:
     """Expectation-maximisation of rule accuracies and the share of good files.
 
     ``patterns`` is ``(<rules>, n)``: how many files gave each pattern of votes,
@@ -145,7 +145,7 @@ def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, least: flo
         accuracy = {rule: (ratio(f"{rule}_kept", f"{rule}_good"), ratio(f"{rule}_rejected", f"{rule}_poor")) for rule in rules}
         share = min(0.99, max(0.05, r["good"] / r["n"]))
         change = max(abs(share - before[1]), *(abs(a - b) for rule in rules for a, b in zip(accuracy[rule], before[0][rule])))
-        if change < 1e-4:
+        if change < 1e-3:
             break
     return accuracy, share
 
