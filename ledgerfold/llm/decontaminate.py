@@ -178,7 +178,9 @@ def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFra
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).select("item", "text").collect()
         known = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
 
-        def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        last = block == blocks - 1  # after it the texts are done with
+
+        def search(batches: Iterator[pa.RecordBatch], known=known, last=last) -> Iterator[pa.RecordBatch]:
             index = Items(known.value)
             for batch in batches:
                 texts = batch.column("text").to_pylist()
@@ -186,7 +188,8 @@ def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFra
                 for a, b in W.slices(texts):
                     for n, more in enumerate(_found_in(index, [plain(t) for t in texts[a:b]]), a):
                         out[n] = [*out[n], *({"item": i, "edits": e, "end": at} for i, e, at in more)]
-                yield pa.RecordBatch.from_arrays([batch.columns[0], batch.column("text"), pa.array(out, batch.column("found").type)], names=batch.schema.names)
+                done = pa.RecordBatch.from_arrays([batch.columns[0], batch.column("text"), pa.array(out, batch.column("found").type)], names=batch.schema.names)
+                yield done.select([0, 2]) if last else done
 
-        current = current.mapInArrow(search, shape)
+        current = current.mapInArrow(search, shape.replace(", text string", "", 1) if last else shape)
     return current.select(key, "found", (F.size("found") == 0).alias("clean"))

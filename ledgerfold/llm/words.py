@@ -20,7 +20,7 @@ class WordTable:
     on it.
     """
 
-    def __init__(self, work_out: Callable[[list], tuple[np.ndarray, ...]], limit: int = 600_000):
+    def __init__(self, work_out: Callable[[list], tuple[np.ndarray, ...]], limit: int = 200_000):
         self.work_out, self.limit = work_out, limit
         self.at: dict = {}
         self.columns: list[np.ndarray] = []
