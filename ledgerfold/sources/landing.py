@@ -44,9 +44,13 @@ def read_csv_extracts(spark: SparkSession, *paths: str, width: int | None = None
 
 
 def csv_cells(line: Column, separator: str = ",") -> Column:
-    """Cells of one CSV line; empty ones at the end are left out."""
+    """Cells of one CSV line; empty ones at the end are left out.
+
+    A separator is put before the line, so that every match takes one: an empty
+    match would let the search step over the separator after it.
+    """
     sep = re.escape(separator)
-    found = F.regexp_extract_all(line, F.lit(f'(?:^|{sep})("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{sep}("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
     plain = F.transform(found, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
     return let(plain, lambda cells: F.slice(cells, F.lit(1), F.coalesce(F.array_max(F.transform(cells, lambda c, i: F.when(c != "", i + 1).otherwise(0))), F.lit(0))))
 

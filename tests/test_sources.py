@@ -77,3 +77,11 @@ def test_formulas_with_odd_blanks_brackets_and_depth(spark):
     assert problems["a"] is None and "zz" in problems["c"]
     texts = {r["key"]: r["expression"] for r in formula.humanize(rules.filter("key = 'a'"), norms).collect()}
     assert texts == {"a": "«площадь [n2]» + «прочее»"}
+
+
+def test_csv_lines_that_start_with_a_separator(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',a,b\n,,c\n"",d\n,"e,f",g\n,\n', encoding="utf-8")
+    rows = {r["row_idx"]: r["cells"] for r in read_csv_extracts(spark, str(tmp_path / "a.csv")).collect()}
+    assert rows == {0: ["", "a", "b"], 1: ["", "", "c"], 2: ["", "d"], 3: ["", "e,f", "g"], 4: []}
+    (tmp_path / "b.csv").write_text("|a\n", encoding="utf-8")
+    assert read_csv_extracts(spark, str(tmp_path / "b.csv"), separator="|").first()["cells"] == ["", "a"]
