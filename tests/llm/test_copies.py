@@ -139,3 +139,21 @@ def test_line_copies_equal_brute_force(landed):
         assert r["n_lines"] == (0 if text is None else text.count("\n") + 1)
         assert r["text"] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in expected[r["file"]]))
     assert line_copies.drop_line_copies(landed([])).count() == 0
+
+
+def test_links_whose_signatures_agree_less_than_their_sets():
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.random.default_rng(949).integers(0, 1 << 64, 25, dtype=np.uint64)  # found by search
+    sets = [np.sort(x[:22]), np.sort(np.concatenate([x[:20], x[22:]]))]  # 20 of 25 shared
+    signed = [near_copies.signature(s).ravel() for s in sets]
+    assert 0.5 < (signed[0] == signed[1]).mean() < 0.63
+    at = {"band": [1, 1], "low": [0, 0], "high": [0, 0], "side": [near_copies.SAME] * 2, "copy": [b"a", b"b"], "label": [b"a", b"b"]}
+    shape = pa.schema([("band", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("copy", pa.binary()), ("label", pa.binary())])
+    rows = [pa.array(at[f.name], f.type) for f in shape]
+    first = pa.RecordBatch.from_arrays([*rows, pa.array([s.tobytes() for s in signed], pa.binary())], names=[*shape.names, "signed"])
+    assert sum(b.num_rows for b in near_copies._active(shape, iter([first]))) == 2
+    whole = pa.RecordBatch.from_arrays([*rows, pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], names=[*shape.names, "shingles"])
+    ends = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    assert [b.to_pylist() for b in near_copies._links_of_blocks(ends, iter([whole]))] == [[{"a": b"a", "b": b"b"}]]
