@@ -201,7 +201,7 @@ def _walked(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     def close() -> None:
         if len(held) > 1:
             for context, (left, right) in zip(held, extents(list(held.values()), least)):
-                if left and right:
+                if right:  # left is 0 too where a repeat begins at its anchor
                     out.append((now, context, left, right))
 
     def batch_of() -> pa.RecordBatch:

@@ -78,3 +78,11 @@ def test_equal_windows_have_their_anchor_at_one_place(seed, letters):
     for s in range(21):
         places = [{a for a in f if s <= a <= s + 32} for f in found]
         assert places[0] & places[1]
+
+
+def test_repeats_that_begin_at_their_anchor(landed):
+    texts = [(1, "=" * 400), (2, "x" + "=" * 1000), (3, "-" * 399), (4, "y" + "-" * 500)]
+    for crowd in (repeats.CROWD, 1):
+        assert _told(repeats.remove_repeats(landed(texts), crowd=crowd)) == _expected(texts, 400)
+    texts = [(1, "=" * 40), (2, "x" + "=" * 100), (3, "ab" * 20), (4, "c" + "ab" * 30)]
+    assert _told(repeats.remove_repeats(landed(texts), least=40, gram=8)) == _expected(texts, 40)
