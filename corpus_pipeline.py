@@ -32,9 +32,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest number."""
-    found = near_copies.near_copies(as_files(docs))
-    gone = cut(found.filter(~F.col("kept")).select(F.col("file").alias("doc_id")).distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = near_copies.judged_copies(as_files(docs))
+    gone = cut(found.filter(~F.col("kept")).select(F.col("file").alias("__file"), F.col("copy").alias("__gone")).distinct())
+    told = docs.withColumn("__copy", near_copies.copy_of("text"))
+    # a number may be null, or stand with several texts, each with a verdict of its own
+    return told.join(gone, F.col("doc_id").eqNullSafe(F.col("__file")) & (F.col("__copy") == F.col("__gone")), "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

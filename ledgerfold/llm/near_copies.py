@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
@@ -257,6 +257,11 @@ def groups_of(banded: DataFrame, sets_of, key_type: str = "binary") -> DataFrame
     return connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
 
+def copy_of(text: str) -> Column:
+    """Hash that the rows of one text share."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
     """Groups of near copies among ``files`` ``(file, text)``.
 
@@ -275,8 +280,13 @@ def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
     still of several components are then compared in blocks.  Texts that are the
     same to the byte are one member, whatever their number.
     """
+    return judged_copies(files, width).drop("copy")
+
+
+def judged_copies(files: DataFrame, width: int = 5) -> DataFrame:
+    """``near_copies`` with a column ``copy``, see ``copy_of``: rows of one ``file`` may differ in text."""
     ship(files.sparkSession)
-    texts = files.select("file", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"))
+    texts = files.select("file", "text", copy_of("text").alias("copy"))
     kind = files.schema["file"].dataType.simpleString()
     signed = cut(texts.mapInArrow(lambda b: _banded(width, b), f"file {kind}, copy binary, n_shingles bigint, bands array<bigint>"))
     distinct = cut(signed.filter("n_shingles > 0").groupBy("copy").agg(F.first("bands").alias("bands"), F.min("file").alias("first")))
@@ -288,4 +298,4 @@ def near_copies(files: DataFrame, width: int = 5) -> DataFrame:
     found = signed.select("file", "copy", "n_shingles").join(named.join(groups, "label").select("copy", "component_id"), "copy", "left")
     alone = F.col("n_shingles") == 0
     group = F.when(alone, F.col("file")).otherwise(F.col("component_id"))
-    return found.select("file", "n_shingles", group.alias("component_id"), (alone | F.col("file").eqNullSafe(group)).alias("kept"))
+    return found.select("file", "copy", "n_shingles", group.alias("component_id"), (alone | F.col("file").eqNullSafe(group)).alias("kept"))

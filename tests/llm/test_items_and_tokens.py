@@ -186,3 +186,12 @@ def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after)
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in after)
     assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_near_copies_go_by_number_and_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text, other = "Норматив накопления отходов на одного жителя в год", "Совсем другой приказ о тарифах на вывоз для школ"
+    rows = [(1, text), (5, text), (5, other), (None, text), (None, "ничей текст из шести разных слов"), (7, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id bigint, text string, source string")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()}
+    assert kept == {(1, text), (5, other), *rows[4:]}
