@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -115,14 +116,15 @@ def _posterior(rules: list[str], accuracy: dict[str, tuple[float, float]], share
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, rules: list[str], rounds: int = 12, least: float = 0.55, most: float = 0.999) -> tuple[dict[str, tuple[float, float]], float]:
+def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, least: float = 0.55, most: float = 0.999) -> tuple[dict[str, tuple[float, float]], float]:
     """Expectation-maximisation of rule accuracies and the share of good files.
 
     ``patterns`` is ``(<rules>, n)``: how many files gave each pattern of votes,
     at most 3 to the number of rules rows.  Given its quality a file's votes are
     taken as independent and abstaining as uninformative.  A rule's accuracy on
     good and on poor files stays within ``least`` and ``most``, so a rule is
-    never turned round.  One aggregate row a round reaches the driver.
+    never turned round.  One aggregate row a round reaches the driver; a warning
+    says when ``rounds`` end before accuracies and share change by less than 1e-4.
     """
     accuracy, share = {rule: (0.8, 0.8) for rule in rules}, 0.8
     for _ in range(rounds):
@@ -145,8 +147,10 @@ def estimate(patterns: DataFrame, rules: list[str], rounds: int = 12, least: flo
         accuracy = {rule: (ratio(f"{rule}_kept", f"{rule}_good"), ratio(f"{rule}_rejected", f"{rule}_poor")) for rule in rules}
         share = min(0.99, max(0.05, r["good"] / r["n"]))
         change = max(abs(share - before[1]), *(abs(a - b) for rule in rules for a, b in zip(accuracy[rule], before[0][rule])))
-        if change < 1e-3:
+        if change < 1e-4:
             break
+    else:
+        warnings.warn(f"rule accuracies have not settled in {rounds} rounds", stacklevel=2)
     return accuracy, share
 
 

@@ -1,8 +1,11 @@
 """Language, quality rules, quality scores and licences on landed texts."""
 
 import re
+import warnings
 from collections import Counter
 
+import pytest
+
 from ledgerfold.llm import language, licences, quality, records, rules
 
 NORMS = "Норматив накопления твердых отходов на одного проживающего составляет в год по объему и массе"
@@ -140,3 +143,13 @@ def test_licences_of_given_templates(spark, landed):
     assert {r["file"]: r["licences"] for r in licences.find_licences(files, given).collect()} == {1: ["own"], 2: []}
     assert {tuple(r["licences"]) for r in licences.find_licences(files, given.limit(0)).collect()} == {()}
     assert licences.find_licences(landed([]), given).count() == 0
+
+
+def test_unsettled_estimate_is_told(spark):
+    names = list(rules.votes())
+    patterns = spark.createDataFrame([(*[1] * 8, 70), (*[-1] * 8, 20), (1, -1, 1, -1, 0, 0, 0, 0, 10)], ", ".join(f"{n} int" for n in names) + ", n bigint")
+    with pytest.warns(UserWarning, match="not settled in 1 round"):
+        rules.estimate(patterns, names, rounds=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        rules.estimate(patterns, names)
