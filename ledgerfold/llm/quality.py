@@ -42,8 +42,8 @@ def _pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return np.where(first == second, SAME_PAIR, pairs)
 
 
-def features(text: str | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and how often each occurs; at most ``most`` of them, picked by hash."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and how often each occurs."""
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -55,8 +55,6 @@ def features(text: str | None, most: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(buckets, weights=times[owners], minlength=BUCKETS)
     np.add.at(counts, _pair_buckets(hashes[order]), 1)
     found = np.flatnonzero(counts)
-    if len(found) > most:
-        found = np.sort(found[np.argsort(W.mixed(found.astype(np.uint64)), kind="stable")[:most]])
     return found, counts[found].astype(np.int64)
 
 
@@ -126,7 +124,6 @@ def fit_quality(
     files: DataFrame,
     ratings: DataFrame,
     sample_files: int = 4000,
-    sample_features: int = 3000,
     dim: int = 12,
     epochs: int = 4,
     rate: float = 0.25,
@@ -135,9 +132,9 @@ def fit_quality(
     """Learn quality from ``ratings`` ``(file, quality)``, 1 good and 0 poor.
 
     ``sample_files`` is the expected size of the training sample, halved between
-    the two qualities and drawn by the hash of ``file``; ``sample_features``
-    bounds what one file adds to it.  Both bound the memory of the driver, which
-    runs the descent.  Rows with a null file or a quality other than 0 or 1 teach
+    the two qualities and drawn by the hash of ``file``.  It bounds the memory of
+    the driver, which runs the descent: a text teaches all its buckets, 8 bytes
+    each and ``BUCKETS`` at most.  Rows with a null file or a quality other than 0 or 1 teach
     nothing; with no rated file at all every file scores one half.
     """
     known = ratings.select("file", F.col("quality").cast("int").alias("quality")).filter(F.col("file").isNotNull() & F.col("quality").isin(0, 1)).distinct()
@@ -152,7 +149,7 @@ def fit_quality(
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, quality, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found, counts = features(text, sample_features)
+                found, counts = features(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([str(file)]), pa.array([quality], pa.int32()), pa.array([found.astype(np.int32).tobytes()]), pa.array([counts.astype(np.int32).tobytes()])],
                     names=["file", "quality", "found", "counts"],

@@ -4,6 +4,7 @@ import re
 import warnings
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ledgerfold.llm import language, licences, quality, records, rules
@@ -153,3 +154,11 @@ def test_unsettled_estimate_is_told(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         rules.estimate(patterns, names)
+
+
+def test_long_training_texts_are_whole():
+    words = [f"слово{k}" for k in range(4000)]
+    found, counts = quality.features(" ".join(words))
+    _, buckets, _ = quality._word_values(words)
+    assert len(found) == len(counts) > 3000
+    assert set(buckets.tolist()) <= set(found.tolist())
