@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import decontaminate, language, licences, line_copies, mixing, near_copies, quality, repeats, rules, token_files
+from ledgerfold.llm import decontaminate, infill, language, licences, line_copies, mixing, near_copies, phrases, quality, repeats, rules, token_files, toxic_spans
 from ledgerfold.llm.records import SPACES
 
 
@@ -89,6 +89,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k
     return token_files.read_token_files(spark, folder).withColumnRenamed("file", "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = infill.restore_files(infill.infill_files(as_files(table(spark, sf_dir, "documents"))))
+    return turned.select(
+        F.col("file").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256")
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = phrases.mine_phrases(table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "text"))
+    return mined.withColumnRenamed("kind", "lang")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file"), "toxic").filter(fold(5) != 0)
+    tagged = toxic_spans.tag_files(as_files(table(spark, sf_dir, "documents")), rated)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return tagged.select(F.col("file").alias("doc_id"), (fold(5) == 0).alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing_to_target_weights": op2_mixing_to_target_weights,
@@ -100,4 +119,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_toxicity": op13_toxicity,
 }
