@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +52,18 @@ class Part:
         codes *= powers[np.arange(len(codes)) - np.repeat(offsets, self.lengths)]
         return W.mixed(np.add.reduceat(codes, offsets) + self.lengths.astype(np.uint64) * _ODD)
 
-    def buckets(self, kind_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counters of every word and of the pair it begins (of no use where no word follows)."""
-        one = W.mixed(self.hashes + kind_hashes[self.kinds])
-        two = W.mixed(one * _ODD + np.append(self.hashes[1:], np.uint64(0))[: len(one)])
-        shift = np.uint64(64 - COUNTER_BITS)
-        return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+    def leads(self, values: np.ndarray, k: int, fill) -> np.ndarray:
+        """``values`` of the words ``k`` places on."""
+        return np.append(values[k:], np.full(min(k, len(values)), fill, values.dtype))
+
+    def beginnings(self, kind_hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``LONGEST`` words from every word on: their counter, and whether they are within one piece."""
+        key, whole = W.mixed(self.hashes + kind_hashes[self.kinds]), np.ones(len(self.hashes), bool)
+        for k in range(1, LONGEST + 1):
+            if k > 1:
+                key = W.mixed(key * _ODD + self.leads(self.hashes, k - 1, 0))
+                whole = whole & self.leads(self.follows, k - 2, False)
+            yield (key >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), whole
 
     def strings(self, at: np.ndarray) -> pa.Array:
         """Texts of the words at ``at``, and an empty one after them."""
@@ -92,19 +99,19 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[Part, list, np.ndarray]]:
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed counts of the words and pairs of a task, up to 255 each, in chunks."""
+    """Hashed counts of the phrases of a task, up to 255 each, in chunks."""
     table = None
     for batch in batches:
         for part, _, hashes in _parts(batch):
             if table is None:
                 table = np.zeros(1 << COUNTER_BITS, np.uint8)
-            one, two = part.buckets(hashes)
-            found, times = np.unique(np.concatenate([one, two[part.follows]]), return_counts=True)
-            table[found] = np.minimum(255, table[found] + times)
+            for counter, whole in part.beginnings(hashes):
+                found, times = np.unique(counter[whole], return_counts=True)
+                table[found] = np.minimum(255, table[found] + times)
     if table is None:
         return
     for start in range(0, len(table), CHUNK * 64):
-        rows = [(c // CHUNK, table[c : c + CHUNK].tobytes()) for c in range(start, min(start + CHUNK * 64, len(table)), CHUNK) if table[c : c + CHUNK].any()]
+        rows = [(c // CHUNK, zlib.compress(table[c : c + CHUNK].tobytes(), 1)) for c in range(start, min(start + CHUNK * 64, len(table)), CHUNK) if table[c : c + CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "counts"])
 
 
@@ -117,7 +124,7 @@ def _often(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     now, total = None, None
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            counted = np.frombuffer(counts.as_py(), np.uint8).astype(np.uint32)
+            counted = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint32)
             if chunk != now:
                 if now is not None:
                     yield told(now, total)
@@ -131,7 +138,7 @@ def _often(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def _windows(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The longest window from every word on, as columns of leading words, counted within a part.
 
-    It ends with its piece, before a word or pair that can't be frequent, or
+    It ends with its piece, before a word with which it can't be frequent, or
     after ``LONGEST`` words; what is left is padded with ''.  A word that can't be
     frequent itself is padding too, so that every word counts once.
     """
@@ -139,17 +146,15 @@ def _windows(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         for part, names, hashes in _parts(batch):
             if not len(part.hashes):
                 continue
-            one, two = part.buckets(hashes)
             _, first, word = np.unique(part.hashes, return_index=True, return_inverse=True)
-            pad = len(first)
-            word = np.where(often[one], word, pad)
-            leads = part.follows & often[two]
-            columns, open_ = [word], word < pad
-            for k in range(1, LONGEST):
-                open_ = open_ & np.append(leads[k - 1 :], np.zeros(k - 1, bool))[: len(word)]
-                lead = np.append(word[k:], np.full(min(k, len(word)), pad))[: len(word)]
-                open_ = open_ & (lead < pad)
-                columns.append(np.where(open_, lead, pad))
+            pad, columns, open_, shorter = len(first), [], np.ones(len(word), bool), None
+            for k, (counter, whole) in enumerate(part.beginnings(hashes)):
+                frequent = whole & often[counter]
+                open_ = open_ & frequent
+                if k:  # what follows the first word must be frequent by itself
+                    open_ = open_ & part.leads(shorter, 1, False)
+                shorter = frequent
+                columns.append(np.where(open_, part.leads(word, k, pad), pad))
             key = part.kinds.astype(np.uint64)
             for c in columns:
                 key = W.mixed(key * _ODD + c.astype(np.uint64))
@@ -162,7 +167,7 @@ def _windows(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def _often_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """Whether the counter of each hash of words and pairs reaches ``least`` in all texts."""
+    """Whether the counter of each hash of a phrase reaches ``least`` in all texts."""
     chunks = texts.mapInArrow(_counters, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     often = np.zeros(1 << COUNTER_BITS, bool)
     for row in cut(chunks.mapInArrow(lambda b: _often(least, b), "chunk int, bits binary")).collect():  # four megabytes in all
