@@ -145,7 +145,7 @@ def _found_in(items: Items, texts: list[str]) -> list[list[tuple[object, int, in
 far_off = 1 << 60
 
 
-def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFrame:
+def find_items(files: DataFrame, items: DataFrame, key: str = "file", keep: bool = False) -> DataFrame:
     """Benchmark items that each file's whole text holds, word for word or nearly.
 
     ``files`` is ``(file, text)``, ``items`` ``(item, text)``.  Returns ``(file,
@@ -164,7 +164,7 @@ def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFra
     One row per row of ``files``, repeated files included.  Null or blank texts
     hold nothing and null or blank items are held by nothing; of items with one
     name each is looked for and the best place is told.  Empty ``items`` leave
-    every file clean.  Further columns are left out.
+    every file clean.  Further columns are left out; with ``keep`` the text stays.
     """
     spark = files.sparkSession
     ship(spark)
@@ -178,7 +178,7 @@ def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFra
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).select("item", "text").collect()
         known = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
 
-        last = block == blocks - 1  # after it the texts are done with
+        last = block == blocks - 1 and not keep  # after it the texts are done with
 
         def search(batches: Iterator[pa.RecordBatch], known=known, last=last) -> Iterator[pa.RecordBatch]:
             index = Items(known.value)
@@ -192,4 +192,4 @@ def find_items(files: DataFrame, items: DataFrame, key: str = "file") -> DataFra
                 yield done.select([0, 2]) if last else done
 
         current = current.mapInArrow(search, shape.replace(", text string", "", 1) if last else shape)
-    return current.select(key, "found", (F.size("found") == 0).alias("clean"))
+    return current.select(key, *(["text"] if keep else []), "found", (F.size("found") == 0).alias("clean"))

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
-from ledgerfold.llm.near_copies import groups_of, sent_once, signatures
+from ledgerfold.llm.near_copies import groups_of, sent_once
 from ledgerfold.llm.records import SPACES
 from ledgerfold.session import cut, ship
 
 GRAM = 6
 BANDS, PER_BAND = 12, 4
-SEEN = 500_000  # lines that a task remembers to send on once
 _DICE = np.random.default_rng(8)
 _FACTORS = _DICE.integers(1, 1 << 31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _DICE.integers(0, 1 << 32, BANDS * PER_BAND, dtype=np.uint32)
@@ -57,46 +56,33 @@ def _bands(lines: list[str]) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set = set()
     for batch in batches:
-        new_keys, new_lines = [], []
-        for key, line in zip(batch.column("copy").to_pylist(), batch.column("line").to_pylist()):
-            if key not in seen:
-                seen.add(key)
-                new_keys.append(key)
-                new_lines.append(line)
-        if len(seen) > SEEN:
-            seen.clear()
-        for a, b in W.slices(new_lines):
-            bands = _bands(new_lines[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(new_keys[a:b], np.int64), BANDS)), pa.array(bands.ravel())], names=["copy", "band"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = batch.column("line").to_pylist()
+        lines = batch.column("text").to_pylist()
         for a, b in W.slices(lines):
-            grams, counts = _line_grams(lines[a:b])
-            ends = np.cumsum(counts)
-            found = [np.unique(grams[e - c : e]) for e, c in zip(ends, counts)]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("copy").slice(a, b - a), lists, signatures(found)], names=["copy", "shingles", "signed"])
+            keys = _bands(lines[a:b]).ravel()
+            lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column("copy").slice(a, b - a), lists], names=["copy", "bands"])
+
+
+def line_grams(lines: list[str]) -> list[np.ndarray]:
+    """Hashes of each line's character n-grams."""
+    out: list[np.ndarray] = []
+    for a, b in W.slices(lines):
+        grams, counts = _line_grams(lines[a:b])
+        out += np.split(grams, np.cumsum(counts)[:-1])
+    return out
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
-    """``(node, component)`` of lines ``(copy, line)`` that have near copies.
+    """``(node, component)`` of lines ``(copy, text)`` that have near copies.
 
-    ``copy`` is the hash of ``line``.  Lines are near copies when their sets of
-    six-character shingles share at least 80 per cent of their union.
+    ``copy`` is the hash of the line, ``text`` the line itself; each line comes once.
+    Lines are near copies when their sets of six-character shingles share at
+    least 80 per cent of their union.
     """
     ship(lines.sparkSession)
-    banded = lines.mapInArrow(_banded, "copy bigint, band bigint")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        asked = sent_once(lines, wanted, "copy bigint, line string")
-        return asked.mapInArrow(_sets, "copy bigint, shingles array<bigint>, signed binary")
-
-    return groups_of(banded, sets_of, "bigint")
+    banded = cut(lines.mapInArrow(_banded, "copy bigint, bands array<bigint>")).select("copy", F.explode("bands").alias("band"))
+    return groups_of(banded, lambda wanted: sent_once(lines, wanted, "copy bigint, text string"), line_grams, "bigint")
 
 
 def drop_line_copies(files: DataFrame, key: str = "file") -> DataFrame:
@@ -118,7 +104,7 @@ def drop_line_copies(files: DataFrame, key: str = "file") -> DataFrame:
     split = whole.select("file", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = split.filter(F.col("line").rlike(f"[^{SPACES}]")).withColumn("copy", F.xxhash64("line"))
     where = cut(lines.select("file", "id", "line_no", "copy"))
-    labels = line_groups(lines.select("copy", "line"))
+    labels = line_groups(cut(lines.groupBy("copy").agg(F.first("line").alias("text"))))
     firsts = where.groupBy("copy").agg(F.count("*").alias("n"), F.min(F.struct(F.col("file").isNull().alias("last"), "file", "line_no", "id")).alias("first"))
     named = cut(firsts.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "n", "first", F.coalesce("component", "copy").alias("label"), F.col("node").isNotNull().alias("near")))
     best = named.filter("near").groupBy("label").agg(F.min("first").alias("best"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
@@ -66,11 +66,10 @@ def _banded(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("copy"), pa.array(sizes, pa.int64()), lists], names=["file", "copy", "n_shingles", "bands"])
 
 
-def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed_bodies(grams_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with their signature; the body goes along as it is, a byte a character."""
     for batch in batches:
-        found = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("copy"), lists, signatures(found)], names=["copy", "shingles", "signed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, signatures(grams_of(batch.column("text").to_pylist()))], names=[*batch.schema.names, "signed"])
 
 
 def similar(shared, first, second):
@@ -114,10 +113,8 @@ def _signed(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in batch.column("signed").to_pylist()]
 
 
-def _shingled(batch: pa.RecordBatch) -> list[np.ndarray]:
-    lists = batch.column("shingles")
-    values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return batch.column("text").to_pylist()
 
 
 def _near(signed: np.ndarray, side: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
@@ -145,22 +142,45 @@ def _active(shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield W.as_batch(shape, *([x[c] for x in out] for c in range(len(shape))))
 
 
-def _links_of_blocks(shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_of_blocks(grams_of, shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between members that no earlier link of the block pair joins, one per join."""
-    for _, rows in _blocks(batches, _shingled):
-        (side, label), sets = _arrays(rows), [r[3] for r in rows]
+    for _, rows in _blocks(batches, _texts):
+        (side, label), sets = _arrays(rows), [np.unique(x) for x in grams_of([r[3] for r in rows])]
         signed = np.stack([signature(x).ravel() for x in sets])
         forest, out = _Forest(label.tolist()), []
         for k in range(len(rows) - 1):
             for m in _near(signed, side, label, k).tolist():
                 a, b = forest.root(k), forest.root(m)
-                if a != b and similar(len(np.intersect1d(sets[k], sets[m], assume_unique=True)), len(sets[k]), len(sets[m])):
+                if a != b and alike(sets[k], sets[m]):
                     forest.up[max(a, b)] = min(a, b)
                     out.append((rows[k][1], rows[m][1]))
         yield W.as_batch(shape, [x[0] for x in out], [x[1] for x in out])
 
 
-def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_type: str) -> DataFrame:
+def alike(first: np.ndarray, second: np.ndarray) -> bool:
+    """Whether two sets are near copies; sizes that can't be are told without looking further."""
+    low, high = sorted((len(first), len(second)))
+    return 100 * low >= LEAST * high and similar(len(np.intersect1d(first, second, assume_unique=True)), low, high)
+
+
+def _links_to_heads(grams_of, shape: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a bucket's first member and others; rows of a head come together, its own first."""
+    now, own = None, None
+    for batch in batches:
+        heads, members, sides = (batch.column(c).to_pylist() for c in ("head", "copy", "side"))
+        texts = _texts(batch)
+        links = []
+        for a, b in W.slices(texts):
+            for k, found in enumerate(grams_of(texts[a:b]), a):
+                found = np.unique(found)
+                if sides[k] == 0:
+                    now, own = heads[k], found
+                elif now == heads[k] and alike(own, found):
+                    links.append((heads[k], members[k]))
+        yield W.as_batch(shape, [x[0] for x in links], [x[1] for x in links])
+
+
+def _rest_of_links(members: DataFrame, labels: DataFrame, bodies: DataFrame, grams_of, key_type: str) -> DataFrame:
     """Links inside buckets whose members are not yet of one component.
 
     Members of such a bucket are dealt into blocks, those of its largest component
@@ -187,71 +207,126 @@ def _rest_of_links(members: DataFrame, labels: DataFrame, sets: DataFrame, key_t
         F.when(F.col("block") == F.col("other"), SAME).otherwise(F.col("block")).alias("side"), "copy", "label",
     )
     together = lambda rows: rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
-    kind = pa.int64() if key_type == "bigint" else pa.binary()
+    kind = _KINDS[key_type]
     shape = pa.schema([("band", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("copy", kind), ("label", kind)])
-    signed = together(pairs.join(sets.select("copy", "signed"), "copy"))
+    signed = together(pairs.join(bodies.select("copy", "signed"), "copy"))
     active = cut(signed.mapInArrow(lambda b: _active(shape, b), f"band bigint, low int, high int, side int, copy {key_type}, label {key_type}"))
-    whole = together(active.join(sets.select("copy", "shingles"), "copy"))
+    whole = together(active.join(bodies.select("copy", "text"), "copy"))
     ends = pa.schema([("a", kind), ("b", kind)])
-    return whole.mapInArrow(lambda b: _links_of_blocks(ends, b), f"a {key_type}, b {key_type}")
+    return whole.mapInArrow(lambda b: _links_of_blocks(grams_of, ends, b), f"a {key_type}, b {key_type}")
 
 
-FILTER_BITS = 25
+_KINDS = {"bigint": pa.int64(), "binary": pa.binary()}
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 30  # bits of a map for a key; powers of two at least and at most
+MAP_WORDS = 1 << 12  # words of 64 bits in a row of the map
 SEEN = 500_000  # members that a task remembers to send on once
 
 
+def place(name: str, bits: int, hashed: bool = False) -> Column:
+    """Bit of a key; one that is a 64-bit hash already is taken as it is."""
+    return F.pmod(F.col(name) if hashed else F.xxhash64(name), F.lit(1 << bits))
+
+
+def bit_map(keys: DataFrame, name: str, hashed: bool = False) -> tuple[np.ndarray, int]:
+    """A bit map of the keys in column ``name`` and the power of two of its bits.
+
+    Its size follows the number of keys, up to 128 MB; it is put together by the
+    tasks in rows of 32 KB, so that the driver only lays them side by side.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(BITS_EACH * max(keys.count(), 1))))))
+    placed = keys.select(place(name, bits, hashed).alias("at"))
+    words = placed.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    chunked = words.withColumn("chunk", F.floor(F.col("word") / MAP_WORDS)).repartition("chunk").sortWithinPartitions("chunk")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+        for batch in batches:
+            for chunk, word, some in zip(*(batch.column(c).to_pylist() for c in ("chunk", "word", "bits"))):
+                if chunk != now:
+                    if now is not None:
+                        yield out()
+                    now, held = chunk, np.zeros(MAP_WORDS, np.int64)
+                held[word % MAP_WORDS] = some
+        if now is not None:
+            yield out()
+
+    whole = np.zeros(max(MAP_WORDS, 1 << (bits - 6)), np.int64)
+    for r in chunked.mapInArrow(rows, "chunk bigint, bits binary").toLocalIterator():
+        whole[r["chunk"] * MAP_WORDS : (r["chunk"] + 1) * MAP_WORDS] = np.frombuffer(r["bits"], np.int64)
+    return whole.view(np.uint64), bits
+
+
+def _hit(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (known[at >> 6] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def held_back(rows: DataFrame, wanted: DataFrame, name: str, shape: str) -> DataFrame:
+    """Rows whose key ``name`` is among ``wanted``, and few others: a bit map drops most before a join."""
+    bits_of, bits = bit_map(wanted, name)
+    known = rows.sparkSession.sparkContext.broadcast(bits_of)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _hit(known.value, batch.column("__at").to_numpy())
+            yield batch.filter(pa.array(hit)).select(batch.schema.names[:-1])
+
+    return rows.filter(F.col(name).isNotNull()).withColumn("__at", place(name, bits)).mapInArrow(passing, shape)
+
+
 def sent_once(rows: DataFrame, wanted: DataFrame, shape: str) -> DataFrame:
     """One row each of ``rows`` ``(copy, ...)`` for the members ``wanted``, and few others moved.
 
-    A bit map of fixed size, four megabytes however many members are wanted, goes
-    to the workers and holds most others back before the shuffle; the join after
-    it is exact.
+    A bit map goes to the workers and holds most others back before the shuffle;
+    the join after it is exact.
     """
-    at = F.pmod(F.xxhash64("copy"), F.lit(1 << FILTER_BITS))
-    words = wanted.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(copy), {1 << FILTER_BITS}) % 64 as int))")).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():  # as many as the map has words, at most
-        bits[r["word"]] = r["bits"]
-    known = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            place = batch.column("__at").to_numpy()
-            hit = known.value[place >> 6] >> (place % 64).astype(np.uint64) & np.uint64(1)
-            keys, fresh = batch.column("copy"), []
-            for k in np.flatnonzero(hit).tolist():
-                key = keys[k].as_py()
+            keys, fresh = batch.column("copy").to_pylist(), []
+            for k, key in enumerate(keys):
                 if key not in seen:
                     seen.add(key)
                     fresh.append(k)
             if len(seen) > SEEN:
                 seen.clear()
-            yield batch.take(pa.array(fresh, pa.int64())).select(batch.schema.names[:-1])
+            yield batch.take(pa.array(fresh, pa.int64()))
 
-    moved = rows.filter(F.col("copy").isNotNull()).withColumn("__at", at).mapInArrow(passing, shape)
+    moved = held_back(rows, wanted, "copy", shape).mapInArrow(once, shape)
     return moved.join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
 
 
-def groups_of(banded: DataFrame, sets_of, key_type: str = "binary") -> DataFrame:
+def groups_of(banded: DataFrame, texts_of, grams_of, key_type: str = "binary") -> DataFrame:
     """``(node, component)`` of members that share buckets: ``banded`` is ``(copy, band)``.
 
-    ``sets_of`` gives ``(copy, shingles)`` for the members asked for.  Every
-    member of a bucket is compared on full sets with the bucket's first; buckets
-    that still hold several components are compared in blocks.
+    ``texts_of`` gives ``(copy, text)`` for the members asked for and ``grams_of``
+    the shingles of a list of texts.  Texts are moved, not shingles, which take
+    eight times their room.  The first member of every bucket is found by a
+    map-side aggregate; the others are compared with it on full sets, those of one
+    head in blocks, and buckets that still hold several components in pairs of
+    blocks.
     """
-    along = Window.partitionBy("band").orderBy("copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = cut(banded.withColumn("head", F.first("copy").over(along)).filter("copy <> head"))
-    members = after.select("band", "copy").unionByName(after.select("band", F.col("head").alias("copy")).distinct())
-    pairs = cut(after.select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct())
-    sets = cut(sets_of(wanted))
-    side = lambda name: sets.select(F.col("copy").alias(name), F.col("shingles").alias(f"set_{name}"))
-    compared = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    links = cut(compared.filter(similar(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"))
+    kind = _KINDS[key_type]
+    heads = banded.groupBy("band").agg(F.min("copy").alias("head"), F.count("*").alias("n"))
+    heads = cut(heads.filter("n > 1").select("band", "head"))
+    met = held_back(banded, heads.select("band"), "band", f"copy {key_type}, band bigint").join(heads, "band")
+    members = cut(met.select("band", "head", "copy"))
+    pairs = cut(members.filter("copy <> head").select("head", "copy").distinct())
+    wanted = cut(pairs.select(F.explode(F.array("head", "copy")).alias("copy")).distinct())
+    bodies = cut(texts_of(wanted).mapInArrow(lambda b: _signed_bodies(grams_of, b), f"copy {key_type}, text string, signed binary"))
+    sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
+    own = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("head").alias("copy"))
+    rows = dealt.select("head", "block", F.lit(1).alias("side"), "copy").unionByName(own).join(bodies.select("copy", "text"), "copy")
+    together = rows.repartition("head", "block").sortWithinPartitions("head", "block", "side").select("head", "copy", "side", "text")
+    ends = pa.schema([("a", kind), ("b", kind)])
+    links = cut(together.mapInArrow(lambda b: _links_to_heads(grams_of, ends, b), f"a {key_type}, b {key_type}"))
     labels = connected(links)
-    rest = cut(_rest_of_links(members, labels, sets, key_type))
+    rest = cut(_rest_of_links(members.select("band", "copy"), labels, bodies, grams_of, key_type))
     if rest.isEmpty():
         return labels
     return connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
@@ -292,7 +367,7 @@ def judged_copies(files: DataFrame, width: int = 5) -> DataFrame:
     distinct = cut(signed.filter("n_shingles > 0").groupBy("copy").agg(F.first("bands").alias("bands"), F.min("file").alias("first")))
     banded = distinct.select("copy", F.explode("bands").alias("band"))
     one_each = lambda wanted: sent_once(texts.select("copy", "text"), wanted, "copy binary, text string")
-    labels = groups_of(banded, lambda wanted: one_each(wanted).mapInArrow(lambda b: _sets(width, b), "copy binary, shingles array<bigint>, signed binary"))
+    labels = groups_of(banded, one_each, lambda found: [shingles(t, width) for t in found])
     named = cut(distinct.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "first", F.coalesce("component", "copy").alias("label")))
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     found = signed.select("file", "copy", "n_shingles").join(named.join(groups, "label").select("copy", "component_id"), "copy", "left")

@@ -90,7 +90,7 @@ def train(rated: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int
     return (vectors.astype(np.float64) @ lean), float(bias[1] - bias[0])
 
 
-def _scored(weights: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(weights: np.ndarray, bias: float, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work_out(names: list[str]) -> tuple[np.ndarray, ...]:
         hashes, buckets, owners = _word_values(names)
         sums = np.bincount(owners, weights=weights[buckets], minlength=len(names))
@@ -117,7 +117,8 @@ def _scored(weights: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch])
             number = W.row_sums(counts, lengths) + np.maximum(lengths - 1, 0)
             logits[start:end] += total / np.maximum(number, 1)
         score = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+        told = pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+        yield told if keep else told.select([0, 2])
 
 
 def fit_quality(
@@ -167,7 +168,7 @@ def fit_quality(
     return train(rated, dim, epochs, rate, seed) if rated else (np.zeros(BUCKETS), 0.0)
 
 
-def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: str = "file", taught: DataFrame | None = None, **fit) -> DataFrame:
+def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: str = "file", taught: DataFrame | None = None, keep: bool = False, **fit) -> DataFrame:
     """Score every file's whole text for quality: ``(file, score)``, 1 is best.
 
     Word, word-pair and character n-gram buckets of a text are averaged as
@@ -176,13 +177,15 @@ def score_files(files: DataFrame, ratings: DataFrame, text: str = "text", key: s
     null ratings do.  One row per row of ``files``, repeated files included; a
     null or empty text scores what the bias alone says; further columns of
     ``files`` are left out and may have any name.  ``key`` may be a struct, to
-    take columns along; ``taught`` then has the files to learn from.  The model is a vector of
+    take columns along; ``taught`` then has the files to learn from, and with ``keep``
+    the text stands between key and score.  The model is a vector of
     ``BUCKETS`` numbers, whatever the size of the data.
     """
     spark = files.sparkSession
     model = spark.sparkContext.broadcast(fit_quality(files if taught is None else taught, ratings, **fit))
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, text).mapInArrow(lambda batches: _scored(*model.value, batches), f"`{key}` {kind}, score double")
+    shape = f"`{key}` {kind}, `{text}` string, score double" if keep else f"`{key}` {kind}, score double"
+    return files.select(key, text).mapInArrow(lambda batches: _scored(*model.value, keep, batches), shape)
 
 
 def keep_good(scored: DataFrame, least: float = 0.3) -> Column:

@@ -50,7 +50,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = repeats.remove_repeats(as_files(table(spark, sf_dir, "documents")))
-    return told.select(F.col("file").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return told.select(F.col("file").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

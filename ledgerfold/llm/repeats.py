@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
-from ledgerfold.llm.near_copies import FILTER_BITS, SEEN, sent_once
+from ledgerfold.llm.near_copies import SEEN, bit_map, sent_once
 from ledgerfold.session import cut, ship
 
 LEAST = 400  # bytes
@@ -237,22 +237,13 @@ def _windows(least: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterat
 
 
 # --- the operator ---------------------------------------------------------------------
-def _bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit for each ``key``, in four megabytes whatever their number."""
-    place = F.pmod("key", F.lit(1 << FILTER_BITS))
-    words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {1 << FILTER_BITS}) % 64 as int))")).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():  # as many as the map has words, at most
-        bits[r["word"]] = r["bits"]
-    return bits.view(np.uint64)
-
-
 def _surroundings(texts: DataFrame, wanted: DataFrame, least: int, gram: int) -> DataFrame:
     """``(gram, context, left, right)`` of wanted anchors, a few more, some of them twice.
 
     Texts are sampled once more rather than moved; a bit map tells the anchors.
     """
-    known = texts.sparkSession.sparkContext.broadcast(_bit_map(wanted.select(F.col("context").alias("key"))))
+    bits_of, bits = bit_map(wanted, "context", hashed=True)
+    known = texts.sparkSession.sparkContext.broadcast(bits_of)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [[], [], [], []]
@@ -269,7 +260,7 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, least: int, gram: int) ->
                 at, hashes = anchors(np.frombuffer(raw, np.uint8), least, gram)
                 for place, mark, (start, end, context) in zip(at.tolist(), hashes.view(np.int64).tolist(), _contexts(raw, at, least, gram)):
                     signed = context - (1 << 64) if context >> 63 else context
-                    bit = signed % (1 << FILTER_BITS)
+                    bit = signed % (1 << bits)
                     if int(known.value[bit >> 6]) >> (bit & 63) & 1 and signed not in seen:
                         seen.add(signed)
                         rows.append((mark, signed, raw[start:place], raw[place:end]))

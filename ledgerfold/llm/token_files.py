@@ -124,6 +124,11 @@ def _table_of(path: str) -> W.WordTable:
     return _TABLES[path]
 
 
+def _forget_pieces() -> None:
+    """Give back the room of encoded pieces: a worker that packs or reads needs none."""
+    _TABLES.clear()
+
+
 def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """Ids of each text, the end id last; a null text has the end id alone."""
     table = _table_of(path)
@@ -221,6 +226,7 @@ def write_token_files(files: DataFrame, tokenizer: str, folder: str | None = Non
     known = spark.sparkContext.broadcast(rank_of)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_pieces()
         for batch in batches:
             both = [pack(known.value[_ids(w, i)]) for w, i in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -259,6 +265,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     kind = blocks.schema["files"].dataType.elementType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_pieces()
         for batch in batches:
             for files, lengths, control, data, start in zip(*(batch.column(c).to_pylist() for c in ("files", "lengths", "control", "data", "start"))):
                 ends = np.cumsum(lengths)

@@ -83,11 +83,12 @@ def test_block_pairs_join_what_buckets_heads_miss(spark, monkeypatch):
     import numpy as np
 
     hashed = {c: near_copies.W.mixed(np.array(s, np.uint64)) for c, s in sets.items()}
-    frame = spark.createDataFrame([(bytearray(c), np.sort(h).view(np.int64).tolist()) for c, h in hashed.items()], "copy binary, shingles array<bigint>")
+    frame = spark.createDataFrame([(bytearray(c), " ".join(map(str, np.sort(h).tolist()))) for c, h in hashed.items()], "copy binary, text string")
+    grams_of = lambda texts: [np.array(t.split(), np.uint64) for t in texts]
     signed = spark.createDataFrame([(bytearray(c), bytearray(near_copies.signature(np.sort(h)).tobytes())) for c, h in hashed.items()], "copy binary, signed binary")
     members = frame.select(F.lit(1).cast("bigint").alias("band"), "copy")  # one bucket for all
     none = spark.createDataFrame([], "node binary, component binary")
-    rest = near_copies._rest_of_links(members, none, frame.join(signed, "copy"), "binary")
+    rest = near_copies._rest_of_links(members, none, frame.join(signed, "copy"), grams_of, "binary")
     got = {bytes(r["node"]): bytes(r["component"]) for r in connected(rest).collect()}
     forest = Forest()
     for a in sets:
@@ -154,6 +155,27 @@ def test_links_whose_signatures_agree_less_than_their_sets():
     rows = [pa.array(at[f.name], f.type) for f in shape]
     first = pa.RecordBatch.from_arrays([*rows, pa.array([s.tobytes() for s in signed], pa.binary())], names=[*shape.names, "signed"])
     assert sum(b.num_rows for b in near_copies._active(shape, iter([first]))) == 2
-    whole = pa.RecordBatch.from_arrays([*rows, pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], names=[*shape.names, "shingles"])
+    whole = pa.RecordBatch.from_arrays([*rows, pa.array([" ".join(map(str, s.tolist())) for s in sets])], names=[*shape.names, "text"])
     ends = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    assert [b.to_pylist() for b in near_copies._links_of_blocks(ends, iter([whole]))] == [[{"a": b"a", "b": b"b"}]]
+    assert [b.to_pylist() for b in near_copies._links_of_blocks(lambda texts: [np.array(t.split(), np.uint64) for t in texts], ends, iter([whole]))] == [[{"a": b"a", "b": b"b"}]]
+
+
+def test_bit_maps_grow_with_their_keys(spark):
+    import numpy as np
+
+    for n in (1, 5000, 40_000):
+        keys = spark.range(n).selectExpr("id * 7 as k", "1 as other")
+        held, bits = near_copies.bit_map(keys, "k")
+        assert bits == max(16, int(np.ceil(np.log2(16 * n)))) and len(held) == max(4096, 1 << (bits - 6))
+        rows = spark.range(20 * n).selectExpr("id as k", "'x' as band")
+        kept = near_copies.held_back(rows, keys, "k", "k bigint, band string")
+        assert {r["k"] for r in kept.collect()} >= {k for k in range(0, min(7 * n, 20 * n), 7)} and kept.count() < 20 * n / 2
+
+
+def test_members_of_a_head_are_compared_in_blocks(spark, monkeypatch):
+    """One bucket with more members than a block, all of which are near copies of its head."""
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    texts = {k: "контейнер вывоз тариф участок договор место житель школа " * 6 + f"номер {k}" for k in range(23)}
+    files = spark.createDataFrame(list(texts.items()), "file bigint, text string").repartition(3)
+    got = near_copies.near_copies(files, 2).collect()
+    assert {(r["component_id"], r["kept"] == (r["file"] == 0)) for r in got} == {(0, True)}
