@@ -19,15 +19,20 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Files whose key takes all columns along, so that a verdict need not be joined back."""
-    return docs.select(F.struct(*docs.columns).alias("file"), "text")
+    """Files whose key takes the other columns along, so that a verdict need not be joined back."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("file"), "text")
+
+
+def _columns_of(docs: DataFrame) -> list:
+    """The columns of ``docs`` out of such files."""
+    return [F.col(c) if c == "text" else F.col("file").getField(c).alias(c) for c in docs.columns]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more."""
     rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file"), "quality").filter(fold(5) != 0)
-    scored = quality.score_files(_whole(docs), rated, taught=as_files(docs))
-    return scored.filter(quality.keep_good(scored)).select("file.*")
+    scored = quality.score_files(_whole(docs), rated, taught=as_files(docs), keep=True)
+    return scored.filter(quality.keep_good(scored)).select(_columns_of(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +47,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
-    return decontaminate.find_items(_whole(docs), items).filter("clean").select("file.*")
+    return decontaminate.find_items(_whole(docs), items, keep=True).filter("clean").select(_columns_of(docs))
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them, which may be never."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("tie"))
     sized = docs.select(key.alias("file"), F.col("source").alias("municipality"), n_words().alias("units"))
-    copies = mixing.balance_rows(sized).groupBy("file").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    taken = docs.withColumn("__file", key).join(cut(copies), F.col("__file").eqNullSafe(F.col("file")))
+    copies = mixing.balance_rows(sized).groupBy(F.col("file").alias("__taken")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    taken = docs.withColumn("__file", key).join(cut(copies), F.col("__file").eqNullSafe(F.col("__taken")))
     return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
 
 
