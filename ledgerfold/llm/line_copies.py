@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import words as W
-from ledgerfold.llm.near_copies import groups_of, sent_once
+from ledgerfold.llm.near_copies import SEEN, groups_of, sent_once
 from ledgerfold.llm.records import SPACES
 from ledgerfold.session import cut, ship
 
@@ -56,12 +56,22 @@ def _bands(lines: list[str]) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys of lines; those of a line that a task has seen are not made again."""
+    seen: set = set()
     for batch in batches:
-        lines = batch.column("text").to_pylist()
+        copies, fresh = batch.column("copy").to_pylist(), []
+        for k, copy in enumerate(copies):
+            if copy not in seen:
+                seen.add(copy)
+                fresh.append(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        new = batch.take(pa.array(fresh, pa.int64()))
+        lines = new.column("text").to_pylist()
         for a, b in W.slices(lines):
             keys = _bands(lines[a:b]).ravel()
             lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("copy").slice(a, b - a), lists], names=["copy", "bands"])
+            yield pa.RecordBatch.from_arrays([new.column("copy").slice(a, b - a), lists], names=["copy", "bands"])
 
 
 def line_grams(lines: list[str]) -> list[np.ndarray]:
@@ -76,7 +86,7 @@ def line_grams(lines: list[str]) -> list[np.ndarray]:
 def line_groups(lines: DataFrame) -> DataFrame:
     """``(node, component)`` of lines ``(copy, text)`` that have near copies.
 
-    ``copy`` is the hash of the line, ``text`` the line itself; each line comes once.
+    ``copy`` is the hash of the line, ``text`` the line itself; a line may come often.
     Lines are near copies when their sets of six-character shingles share at
     least 80 per cent of their union.
     """
@@ -104,7 +114,7 @@ def drop_line_copies(files: DataFrame, key: str = "file") -> DataFrame:
     split = whole.select("file", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = split.filter(F.col("line").rlike(f"[^{SPACES}]")).withColumn("copy", F.xxhash64("line"))
     where = cut(lines.select("file", "id", "line_no", "copy"))
-    labels = line_groups(cut(lines.groupBy("copy").agg(F.first("line").alias("text"))))
+    labels = line_groups(lines.select("copy", F.col("line").alias("text")))
     firsts = where.groupBy("copy").agg(F.count("*").alias("n"), F.min(F.struct(F.col("file").isNull().alias("last"), "file", "line_no", "id")).alias("first"))
     named = cut(firsts.join(labels, F.col("copy") == F.col("node"), "left").select("copy", "n", "first", F.coalesce("component", "copy").alias("label"), F.col("node").isNotNull().alias("near")))
     best = named.filter("near").groupBy("label").agg(F.min("first").alias("best"))

@@ -66,10 +66,9 @@ def _banded(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("copy"), pa.array(sizes, pa.int64()), lists], names=["file", "copy", "n_shingles", "bands"])
 
 
-def _signed_bodies(grams_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members with their signature; the body goes along as it is, a byte a character."""
+def _signed_texts(grams_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, signatures(grams_of(batch.column("text").to_pylist()))], names=[*batch.schema.names, "signed"])
+        yield pa.RecordBatch.from_arrays([batch.column("copy"), signatures(grams_of(batch.column("text").to_pylist()))], names=["copy", "signed"])
 
 
 def similar(shared, first, second):
@@ -209,7 +208,9 @@ def _rest_of_links(members: DataFrame, labels: DataFrame, bodies: DataFrame, gra
     together = lambda rows: rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "copy")
     kind = _KINDS[key_type]
     shape = pa.schema([("band", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("copy", kind), ("label", kind)])
-    signed = together(pairs.join(bodies.select("copy", "signed"), "copy"))
+    asked = bodies.select("copy", "text").join(dealt.select("copy").distinct(), "copy", "left_semi")
+    signatures_of = asked.mapInArrow(lambda b: _signed_texts(grams_of, b), f"copy {key_type}, signed binary")
+    signed = together(pairs.join(signatures_of, "copy"))
     active = cut(signed.mapInArrow(lambda b: _active(shape, b), f"band bigint, low int, high int, side int, copy {key_type}, label {key_type}"))
     whole = together(active.join(bodies.select("copy", "text"), "copy"))
     ends = pa.schema([("a", kind), ("b", kind)])
@@ -303,7 +304,7 @@ def sent_once(rows: DataFrame, wanted: DataFrame, shape: str) -> DataFrame:
 def groups_of(banded: DataFrame, texts_of, grams_of, key_type: str = "binary") -> DataFrame:
     """``(node, component)`` of members that share buckets: ``banded`` is ``(copy, band)``.
 
-    ``texts_of`` gives ``(copy, text)`` for the members asked for and ``grams_of``
+    Repeated rows are one.  ``texts_of`` gives ``(copy, text)`` for the members asked for and ``grams_of``
     the shingles of a list of texts.  Texts are moved, not shingles, which take
     eight times their room.  The first member of every bucket is found by a
     map-side aggregate; the others are compared with it on full sets, those of one
@@ -311,17 +312,17 @@ def groups_of(banded: DataFrame, texts_of, grams_of, key_type: str = "binary") -
     blocks.
     """
     kind = _KINDS[key_type]
-    heads = banded.groupBy("band").agg(F.min("copy").alias("head"), F.count("*").alias("n"))
-    heads = cut(heads.filter("n > 1").select("band", "head"))
+    heads = banded.groupBy("band").agg(F.min("copy").alias("head"), F.max("copy").alias("last"))
+    heads = cut(heads.filter("head <> last").select("band", "head"))
     met = held_back(banded, heads.select("band"), "band", f"copy {key_type}, band bigint").join(heads, "band")
-    members = cut(met.select("band", "head", "copy"))
+    members = cut(met.select("band", "head", "copy").distinct())
     pairs = cut(members.filter("copy <> head").select("head", "copy").distinct())
     wanted = cut(pairs.select(F.explode(F.array("head", "copy")).alias("copy")).distinct())
-    bodies = cut(texts_of(wanted).mapInArrow(lambda b: _signed_bodies(grams_of, b), f"copy {key_type}, text string, signed binary"))
+    bodies = cut(texts_of(wanted))
     sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
     own = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("head").alias("copy"))
-    rows = dealt.select("head", "block", F.lit(1).alias("side"), "copy").unionByName(own).join(bodies.select("copy", "text"), "copy")
+    rows = dealt.select("head", "block", F.lit(1).alias("side"), "copy").unionByName(own).join(bodies, "copy")
     together = rows.repartition("head", "block").sortWithinPartitions("head", "block", "side").select("head", "copy", "side", "text")
     ends = pa.schema([("a", kind), ("b", kind)])
     links = cut(together.mapInArrow(lambda b: _links_to_heads(grams_of, ends, b), f"a {key_type}, b {key_type}"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def _windows(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
     It ends with its piece, before a word with which it can't be frequent, or
     after ``LONGEST`` words; what is left is padded with ''.  A word that can't be
-    frequent itself is padding too, so that every word counts once.
+    frequent itself is padding too, so that every word counts once.  To take less
+    room on the way, a window's columns are one text, with its kind below.
     """
     for batch in batches:
         for part, names, hashes in _parts(batch):
@@ -160,10 +162,9 @@ def _windows(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 key = W.mixed(key * _ODD + c.astype(np.uint64))
             _, at, times = np.unique(key, return_index=True, return_counts=True)
             strings = part.strings(first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[k] for k in part.kinds[at].tolist()], pa.string()), *[strings.take(pa.array(c[at])) for c in columns], pa.array(times.astype(np.int64))],
-                names=["kind", *WORDS, "n"],
-            )
+            words = pc.utf8_rtrim(pc.binary_join_element_wise(*[strings.take(pa.array(c[at])) for c in columns], " "), " ")
+            kinds = pa.array([names[k] for k in part.kinds[at].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(words, kinds, "\n"), pa.array(times.astype(np.int64))], names=["window", "n"])
 
 
 def _often_bits(texts: DataFrame, least: int) -> np.ndarray:
@@ -186,9 +187,10 @@ def phrase_counts(files: DataFrame, least: int) -> DataFrame:
     ship(spark)
     texts = files.select(F.coalesce(F.col("kind").cast("string"), F.lit(NO_KIND)).alias("kind"), "text")
     often = spark.sparkContext.broadcast(_often_bits(texts, least))
-    shape = ", ".join(["kind string", *[f"{w} string" for w in WORDS], "n bigint"])
-    windows = texts.mapInArrow(lambda b: _windows(often.value, b), shape)
-    longest = windows.groupBy("kind", *WORDS).agg(F.sum("n").alias("n"))
+    windows = texts.mapInArrow(lambda b: _windows(often.value, b), "window string, n bigint")
+    counted = windows.groupBy("window").agg(F.sum("n").alias("n")).withColumns({"words": F.split(F.substring_index("window", "\n", 1), " "), "at": F.instr("window", "\n")})
+    columns = [F.coalesce(F.get("words", F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(WORDS)]
+    longest = counted.select(F.expr("substr(window, at + 1)").alias("kind"), *columns, "n")
     rolled = longest.rollup("kind", *WORDS).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
     size = F.lit(LONGEST) - F.bit_count("level").cast("int")
     last = F.element_at(F.array(F.lit("-"), *WORDS), size + 1)  # a beginning that ends with padding is no phrase
