@@ -129,9 +129,8 @@ def soft_token_similarity(a: Column, b: Column) -> Column:
     return F.when(empty, F.lit(0.0)).otherwise((_mean_best(a, b) + _mean_best(b, a)) / 2)
 
 
-def similarity_of_keys(key_a: Column, tokens_a: Column, key_b: Column, tokens_b: Column) -> Column:
-    """Similarity of two names whose keys and tokens were computed beforehand."""
-    soft = soft_token_similarity(tokens_a, tokens_b)
+def similarity_from_soft(key_a: Column, key_b: Column, soft: Column) -> Column:
+    """Similarity of two names whose keys and soft token similarity are known."""
     mixed = let(
         levenshtein_ratio(key_a, key_b),
         lambda lev: F.greatest(soft * TOKEN_WEIGHT + lev * STRING_WEIGHT, lev),
@@ -143,6 +142,11 @@ def similarity_of_keys(key_a: Column, tokens_a: Column, key_b: Column, tokens_b:
     )
 
 
+def similarity_of_keys(key_a: Column, tokens_a: Column, key_b: Column, tokens_b: Column) -> Column:
+    """Similarity of two names whose keys and tokens were computed beforehand."""
+    return similarity_from_soft(key_a, key_b, soft_token_similarity(tokens_a, tokens_b))
+
+
 def similarity(a: Column, b: Column) -> Column:
     return similarity_of_keys(normalize(a), tokens(a), normalize(b), tokens(b))
 

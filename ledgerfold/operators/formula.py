@@ -1,22 +1,15 @@
 """User formulas over norms, such as ``0,5*[n1] + [n2]``.
 
-References are resolved by joins; the arithmetic of one short expression is a
-vectorised Pandas UDF over the distributed rules (user text is never evaluated
-as code).
+References are resolved by joins; the arithmetic of an expression is one fold
+over its tokens (user text is never evaluated as code).
 """
 
 from __future__ import annotations
 
-import re
-import sys
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerfold.functions.text import WS, strip
-from ledgerfold.session import ship
+from ledgerfold.functions.text import WS, let, strip
 
 # --- fixed values: token shape, references and error texts --------------------
 TOKEN = r"(\[[^\]]+\]|\d+(?:[.,]\d+)?|[()+\-*/])"
@@ -31,9 +24,6 @@ EXTRA = "Лишний фрагмент: «%s»"
 UNKNOWN_SIGN = "Непонятный символ в позиции %d: «%s»"
 UNKNOWN_NORMS = "Неизвестные нормативы: "
 
-_PRIORITY = {"+": 1, "-": 1, "*": 2, "/": 2}
-
-
 def tokens(expression: Column) -> Column:
     return F.regexp_extract_all(expression, F.lit(TOKEN), F.lit(1))
 
@@ -48,89 +38,115 @@ def references(expression: Column) -> Column:
     return F.transform(F.regexp_extract_all(expression, F.lit(REFERENCE), F.lit(1)), lambda inner: strip(inner))
 
 
-def _split(text: str) -> list[str]:
-    found, at = [], 0
-    shape = re.compile(r"\s*" + TOKEN)
-    while at < len(text) and text[at:].strip():
-        match = shape.match(text, at)
-        if match is None:
-            raise ValueError(UNKNOWN_SIGN % (at + 1, text[at]))
-        found.append(match.group(1))
-        at = match.end()
-    return found
+def _token_values(tokens_: Column, ids: Column, values: Column) -> Column:
+    """Tokens with their place and, of numbers and references, their value; a reference without one is missing."""
+
+    def one(t: Column, i: Column) -> Column:
+        named = t.startswith("[")
+        inner = strip(F.substr(t, F.lit(2), F.length(t) - 2))
+        found = F.get(values, F.coalesce(F.array_position(ids, inner), F.lit(0)).cast("int") - 1)
+        number = F.when(named, found).otherwise(F.replace(t, F.lit(","), F.lit(".")).try_cast("double"))
+        missing = named & ~F.coalesce(F.abs(found) < float("inf"), F.lit(False))
+        return F.struct(
+            t.alias("t"), i.cast("int").alias("i"), (named | t.rlike(r"^\d")).alias("is_value"),
+            F.when(missing, 0.0).otherwise(number).alias("value"), missing.alias("missing"),
+        )
+
+    return F.transform(tokens_, one)
+
+
+_FRAME = {"sum": "double", "op": "string", "prod": "double", "mul": "string", "neg": "boolean"}
+_FRAMES = f"array<struct<{','.join(f'{n}:{t}' for n, t in _FRAME.items())}>>"
+
 
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
-def calculate(text: str, known: dict[str, float | None]) -> float | None:
-    """Value of one formula; null if a reference is unknown, ValueError if it is wrong.
 
-    Precedence climbing: an operand is followed by operators of at least the
-    asked priority, each taking a right side of higher priority.
+def _combined(frame: Column) -> Column:
+    """Value of a sum whose last product is done."""
+    return (
+        F.when(frame["op"].isNull(), frame["prod"]).when(frame["op"] == "+", frame["sum"] + frame["prod"]).otherwise(frame["sum"] - frame["prod"])
+    )
+
+
+def _unknown_sign(text: Column, tokens_: Column) -> Column:
+    """Message on the first sign, after the last token before it, that begins no token."""
+    gaps = F.split(text, TOKEN)
+    first = F.array_position(F.transform(gaps, lambda g: strip(g) != ""), True).cast("int") - 1
+    lengths = lambda parts: F.aggregate(F.slice(parts, F.lit(1), first), F.lit(0), lambda acc, x: acc + F.length(x))
+    at = lengths(gaps) + lengths(tokens_)
+    return F.when(first >= 0, F.format_string(UNKNOWN_SIGN, at + 1, F.substr(text, at + 1, F.lit(1))))
+
+
+def evaluate(expression: Column, ids: Column, values: Column) -> Column:
+    """Value and error of a formula, given its references (two arrays of equal length).
+
+    One fold over the tokens: a machine with a stack of open brackets, each with
+    the sum and the product it has come to, and the sign and operator that wait for
+    a value.  Products are worked out as soon as their right side is there, so the
+    first error from the left is told.
     """
-    rest = _split(text or "")[::-1]
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(rest) + 1000))  # brackets nest as deep as they like
-    if not rest:
-        raise ValueError(EMPTY)
-    missing = False
-
-    def operand() -> float:
-        nonlocal missing
-        if not rest:
-            raise ValueError(BREAKS_OFF)
-        token = rest.pop()
-        if token in "+-":
-            return operand() if token == "+" else -operand()
-        if token == "(":
-            inside = level(1)
-            if not rest or rest.pop() != ")":
-                raise ValueError(UNCLOSED)
-            return inside
-        if token[0] == "[":
-            value = known.get(token[1:-1].strip())
-            if value is None or value != value or abs(value) == float("inf"):
-                missing = True
-                return 0.0
-            return float(value)
-        if not token[0].isdigit():
-            raise ValueError(NO_NUMBER % token)
-        return float(token.replace(",", "."))
-
-    def level(least: int) -> float:
-        value = operand()
-        while rest and _PRIORITY.get(rest[-1], 0) >= least:
-            sign = rest.pop()
-            right = level(_PRIORITY[sign] + 1)
-            if sign == "+":
-                value += right
-            elif sign == "-":
-                value -= right
-            elif sign == "*":
-                value *= right
-            elif right == 0:
-                raise ValueError(ZERO_DIVISION)
-            else:
-                value /= right
-        return value
-
-    result = level(1)
-    if rest:
-        raise ValueError(EXTRA % " ".join(rest[::-1]))
-    return None if missing else result
-
-
-_OUTCOME = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("error", T.StringType())])
-
-
-@F.pandas_udf(_OUTCOME)
-def evaluate(expression: pd.Series, ids: pd.Series, values: pd.Series) -> pd.DataFrame:
-    """Evaluate each formula with its own references (two arrays of equal length)."""
-    out = []
-    for text, names, numbers in zip(expression, ids, values):
-        known = {} if names is None else dict(zip(names, numbers))
-        try:
-            out.append((calculate(text, known), None))
-        except ValueError as problem:
-            out.append((None, str(problem)))
-    return pd.DataFrame(out, columns=["value", "error"])
+    text = F.coalesce(expression, F.lit(""))
+
+    def machine(listed: Column) -> Column:
+        start = F.struct(
+            F.array().cast(_FRAMES).alias("stack"), *[(F.lit(False) if n == "neg" else _none(t)).alias(n) for n, t in _FRAME.items()],
+            F.lit(False).alias("ready"), F.lit(False).alias("missing"), _none("string").alias("error"),
+        )
+
+        def step(acc: Column, x: Column) -> Column:
+            def state(**changes: Column) -> Column:
+                return F.struct(*[changes.get(n, acc[n]).alias(n) for n in ("stack", *_FRAME, "ready", "missing", "error")])
+
+            t, ready, depth = x["t"], acc["ready"], F.size(acc["stack"])
+            closes = ready & (t == ")") & (depth > 0)
+            parent = F.get(acc["stack"], depth - 1)
+            frame = {n: F.when(closes, parent[n]).otherwise(acc[n]) for n in _FRAME}
+            plain = F.when(closes, _combined(acc)).otherwise(x["value"])
+            value = F.when(frame["neg"], -plain).otherwise(plain)
+            product = (
+                F.when(frame["mul"].isNull(), value).when(frame["mul"] == "*", frame["prod"] * value).otherwise(F.try_divide(frame["prod"], value))
+            )
+            by_zero = F.coalesce(frame["mul"] == "/", F.lit(False)) & (value == 0)
+            taken = state(
+                stack=F.when(closes, F.slice(acc["stack"], F.lit(1), depth - 1)).otherwise(acc["stack"]),
+                sum=frame["sum"], op=frame["op"], prod=product, mul=_none("string"), neg=F.lit(False), ready=F.lit(True),
+                missing=acc["missing"] | (~closes & x["missing"]), error=F.when(by_zero, F.lit(ZERO_DIVISION)),
+            )
+            own = F.struct(*[acc[n].alias(n) for n in _FRAME])
+            opened = state(stack=F.concat(acc["stack"], F.array(own)), **{n: F.lit(False) if n == "neg" else _none(k) for n, k in _FRAME.items()})
+            summed = state(sum=_combined(acc), op=t, prod=_none("double"), mul=_none("string"), ready=F.lit(False))
+            rest = F.array_join(F.transform(F.slice(listed, x["i"] + 1, F.size(listed)), lambda y: y["t"]), " ")
+            left_over = F.when(depth > 0, F.lit(UNCLOSED)).otherwise(F.format_string(EXTRA, rest))
+            return (
+                F.when(acc["error"].isNotNull(), acc)
+                .when((~ready & x["is_value"]) | closes, taken)
+                .when(~ready & t.isin("+", "-"), state(neg=F.when(t == "-", ~acc["neg"]).otherwise(acc["neg"])))
+                .when(~ready & (t == "("), opened)
+                .when(~ready, state(error=F.format_string(NO_NUMBER, t)))
+                .when(t.isin("*", "/"), state(mul=t, ready=F.lit(False)))
+                .when(t.isin("+", "-"), summed)
+                .otherwise(state(error=left_over))
+            )
+
+        def finish(acc: Column) -> Column:
+            error = (
+                F.when(acc["error"].isNotNull(), acc["error"])
+                .when(F.size(listed) == 0, F.lit(EMPTY))
+                .when(~acc["ready"], F.lit(BREAKS_OFF))
+                .when(F.size(acc["stack"]) > 0, F.lit(UNCLOSED))
+            )
+            return F.struct(F.when(error.isNull() & ~acc["missing"], _combined(acc)).alias("value"), error.alias("error"))
+
+        return F.aggregate(listed, start, step, finish)
+
+    def told(found: Column) -> Column:
+        sign = _unknown_sign(text, found)
+        wrong = F.struct(_none("double").alias("value"), sign.alias("error"))
+        return F.when(sign.isNotNull(), wrong).otherwise(let(_token_values(found, ids, values), machine))
+
+    return let(tokens(text), told)
 
 
 def resolve(rules: DataFrame, norms: DataFrame) -> DataFrame:
@@ -157,11 +173,9 @@ def resolve(rules: DataFrame, norms: DataFrame) -> DataFrame:
 
 def evaluate_rules(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """Mass and volume of every formula; an error in either takes both."""
-    ship(rules.sparkSession)
     resolved = resolve(rules.select("key", "expression"), norms)
-    done = resolved.withColumn("m", evaluate("expression", "ids", "masses")).withColumn(
-        "v", evaluate("expression", "ids", "volumes")
-    )
+    of = lambda values: evaluate(F.col("expression"), F.col("ids"), F.col(values))
+    done = resolved.withColumns({"m": of("masses"), "v": of("volumes")})
     error = F.coalesce("m.error", "v.error")
     return done.select(
         "key",
@@ -179,10 +193,9 @@ def unknown_references(rules: DataFrame, norms: DataFrame) -> DataFrame:
 
 def validate(rules: DataFrame, norms: DataFrame) -> DataFrame:
     """First problem of every formula, or null: signs, then references, then form."""
-    ship(rules.sparkSession)
     resolved = resolve(rules.select("key", "expression"), norms)
     ones = F.transform("ids", lambda _: F.lit(1.0))
-    tried = resolved.withColumn("ones", ones).withColumn("t", evaluate("expression", "ids", "ones"))
+    tried = resolved.withColumn("ones", ones).withColumn("t", evaluate(F.col("expression"), F.col("ids"), F.col("ones")))
     unknown = F.concat(F.lit(UNKNOWN_NORMS), F.array_join("unknown", ", "))
     return tried.select(
         "key",

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.functions.text import normalize, similarity_of_keys, tokens_of_key
+from ledgerfold.functions.text import STRING_WEIGHT, TOKEN_WEIGHT, let, normalize, similarity_from_soft, token_similarity, tokens_of_key
 from ledgerfold.operators.relational import spread
 
 # --- fixed values: score levels and the penalty for another unit of measure ---
@@ -19,6 +19,7 @@ POOL_BLOCK = 512  # pool entries scored per row of work
 BROADCAST_POOL = 32_768  # pool entries (of bounded text) that may be broadcast
 BROADCAST_TEXT = 16 * 1024 * 1024
 NAME_SALTS = 64
+SLACK = 1e-9  # bounds and scores are rounded apart
 
 
 def status_for(score: Column) -> Column:
@@ -35,6 +36,63 @@ def basis_compatible(wanted: Column, offered: Column) -> Column:
     return wanted.isNull() | offered.isNull() | (offered == "other") | (wanted == offered)
 
 
+def _packed_pool(pool: DataFrame, blocks: int) -> DataFrame:
+    """Pool entries in blocks, with the distinct stems of a block as an inverted index.
+
+    An entry names its stems by their places in the block's list, so that what is
+    known of a stem serves every entry that holds it.
+    """
+    keyed = pool.withColumn("match_key", normalize(F.col("name"))).select(
+        F.pmod(F.xxhash64("id", "pos"), F.lit(blocks)).cast("int").alias("block"),
+        "id", "name", "basis", "pos", "match_key", tokens_of_key(F.col("match_key")).alias("tokens"),
+    )
+    packed = keyed.groupBy("block").agg(
+        F.collect_list(F.struct("id", "name", "basis", "pos", "match_key", "tokens")).alias("raw_entries")
+    )
+    stems = F.array_distinct(F.flatten(F.transform("raw_entries", lambda e: e["tokens"])))
+    indexed = packed.withColumn("stems", stems).withColumn(
+        "places", F.map_from_arrays(F.col("stems"), F.transform("stems", lambda _, i: i))
+    )
+    entries = F.transform(
+        "raw_entries",
+        lambda e: F.struct(
+            e["id"].alias("id"), e["name"].alias("name"), e["basis"].alias("basis"), e["pos"].alias("pos"), e["match_key"].alias("match_key"),
+            F.transform(e["tokens"], lambda t: F.element_at("places", t)).alias("at"),
+        ),
+    )
+    return indexed.select("block", "stems", entries.alias("entries"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _soft_scores(entries: Column, scores: Column) -> Column:
+    """Soft Dice coefficient of a name with every entry.
+
+    ``scores`` has a row per stem of the name and a place per stem of the block:
+    every two stems have been compared once.
+    """
+    of_stem = F.when(F.size(scores) > 0, F.transform(F.get(scores, 0), lambda _, i: F.array_max(F.transform(scores, lambda row: F.get(row, i)))))
+
+    def soft(best_of_stem: Column) -> Column:
+        def one(e: Column) -> Column:
+            there = _total(F.transform(scores, lambda row: F.array_max(F.transform(e["at"], lambda i: F.get(row, i))))) / F.size(scores)
+            back = _total(F.transform(e["at"], lambda i: F.get(best_of_stem, i))) / F.size(e["at"])
+            return F.when((F.size(scores) == 0) | (F.size(e["at"]) == 0), F.lit(0.0)).otherwise((there + back) / 2)
+
+        return F.transform(entries, one)
+
+    return let(of_stem, soft)
+
+
+def _score_ceiling(soft: Column, key_a: Column, key_b: Column) -> Column:
+    """No similarity is above this: the edit ratio taken from the lengths alone."""
+    lengths = F.greatest(F.length(key_a), F.length(key_b))
+    lev = F.when(lengths == 0, F.lit(1.0)).otherwise(F.least(F.length(key_a), F.length(key_b)) / lengths)
+    return F.when(key_a == key_b, F.lit(1.0)).otherwise(F.greatest(soft * TOKEN_WEIGHT + lev * STRING_WEIGHT, lev))
+
+
 def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """The ``limit`` most similar pool entries of every name, exactly.
 
@@ -45,16 +103,16 @@ def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES)
     the winners of the blocks are ranked in the end.  A pool whose size was
     measured to be small is broadcast; a larger one is shuffled, each block
     being replicated over salts so that the names of a block spread out.
+
+    Inside a block the stems of a name are compared with the distinct stems once,
+    whatever number of entries holds them.  What they give bounds every entry's
+    score from below (the edit ratio being 0) and from above (what the lengths
+    allow); whole names are compared only for entries that can still be among the
+    best ``limit``.
     """
     size = pool.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
     blocks = max(1, math.ceil(size["n"] / POOL_BLOCK))
-    prepared = pool.withColumn("match_key", normalize(F.col("name"))).select(
-        F.pmod(F.xxhash64("id", "pos"), F.lit(blocks)).cast("int").alias("block"),
-        F.struct(
-            "id", "name", "basis", "pos", "match_key", tokens_of_key(F.col("match_key")).alias("tokens")
-        ).alias("entry"),
-    )
-    packed = prepared.groupBy("block").agg(F.collect_list("entry").alias("entries"))
+    packed = _packed_pool(pool, blocks)
     left = (
         spread(names, ["key"])
         .select("key", F.col("name").alias("wanted"), F.col("basis").alias("wanted_basis"))
@@ -70,16 +128,33 @@ def rank_candidates(names: DataFrame, pool: DataFrame, limit: int = CANDIDATES)
             salts, ["block", "salt"]
         )
 
-    raw = F.transform(
-        "entries",
-        lambda e: F.struct(
-            e["id"].alias("id"),
-            e["name"].alias("name"),
-            e["basis"].alias("basis"),
-            e["pos"].alias("pos"),
-            similarity_of_keys(F.col("match_key"), F.col("tokens"), e["match_key"], e["tokens"]).alias("raw"),
-        ),
-    )
+    key = F.col("match_key")
+    penalty = lambda e: F.when(basis_compatible(F.col("wanted_basis"), e["basis"]), 1.0).otherwise(BASIS_PENALTY)
+    scores = F.transform("tokens", lambda t: F.transform("stems", lambda o: token_similarity(t, o)))
+
+    def bounded(soft: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            floor = F.when((key == "") | (e["match_key"] == ""), 0.0).otherwise(F.get(soft, i) * TOKEN_WEIGHT) * penalty(e)
+            ceiling = _score_ceiling(F.get(soft, i), key, e["match_key"]) * penalty(e)
+            return F.struct(i.alias("i"), F.get(soft, i).alias("soft"), floor.alias("floor"), ceiling.alias("ceiling"))
+
+        return F.transform("entries", one)
+
+    def hopeful(bounds: Column) -> Column:
+        least = F.coalesce(F.get(F.sort_array(F.transform(bounds, lambda x: x["floor"]), asc=False), limit - 1), F.lit(0.0))
+        return let(least, lambda level: F.filter(bounds, lambda x: x["ceiling"] >= level - SLACK))
+
+    def compared(x: Column) -> Column:
+        return let(
+            F.get("entries", x["i"]),
+            lambda e: F.struct(
+                e["id"].alias("id"), e["name"].alias("name"), e["basis"].alias("basis"), e["pos"].alias("pos"),
+                similarity_from_soft(key, e["match_key"], x["soft"]).alias("raw"),
+            ),
+        )
+
+    # each step is bound by ``let``: a column of its own would be worked out anew for every entry
+    raw = let(scores, lambda rows: let(_soft_scores(F.col("entries"), rows), lambda soft: let(bounded(soft), lambda bounds: F.transform(hopeful(bounds), compared))))
     # Field order is sort order: best score, then Russian collation, then pool order.
     scored = F.transform(
         F.col("raw_scores"),

@@ -1,5 +1,8 @@
 """Goldens of the scalar functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,8 +126,8 @@ def test_labels(spark):
         ("2 - 3 - 4", -5), ("-2*-3", 6), ("8 / 2 / 2", 2), ("2+3*4", 14),
     ],
 )
-def test_formula_values(expression, result):
-    assert formula.calculate(expression, {"n1": 10.0, "n2": 4.0, "n3": None}) == result
+def test_formula_values(spark, expression, result):
+    assert evaluated(spark, [expression], {"n1": 10.0, "n2": 4.0, "n3": None}) == [(result, None)]
 
 
 @pytest.mark.parametrize(
@@ -135,10 +138,83 @@ def test_formula_values(expression, result):
         ("1 2 3", "Лишний фрагмент: «2 3»"), ("*1", "Не число: «*»"),
     ],
 )
-def test_formula_errors(expression, error):
-    with pytest.raises(ValueError) as raised:
-        formula.calculate(expression, {"n1": 10.0, "n3": None})
-    assert str(raised.value) == error
+def test_formula_errors(spark, expression, error):
+    assert evaluated(spark, [expression], {"n1": 10.0, "n3": None}) == [(None, error)]
+
+
+def climbed(text, known):
+    """Precedence climbing, one formula at a time: value and error."""
+    rest, at, missing = [], 0, False
+    shape, priority = re.compile(r"\s*" + formula.TOKEN), {"+": 1, "-": 1, "*": 2, "/": 2}
+    while (text or "")[at:].strip():
+        match = shape.match(text, at)
+        if match is None:
+            return None, formula.UNKNOWN_SIGN % (at + 1, text[at])
+        rest.insert(0, match.group(1))
+        at = match.end()
+    if not rest:
+        return None, formula.EMPTY
+
+    def operand():
+        nonlocal missing
+        if not rest:
+            raise ValueError(formula.BREAKS_OFF)
+        token = rest.pop()
+        if token in "+-":
+            return operand() if token == "+" else -operand()
+        if token == "(":
+            inside = level(1)
+            if not rest or rest.pop() != ")":
+                raise ValueError(formula.UNCLOSED)
+            return inside
+        if token[0] == "[":
+            value = known.get(token[1:-1].strip())
+            missing = missing or value is None
+            return value or 0.0
+        if not token[0].isdigit():
+            raise ValueError(formula.NO_NUMBER % token)
+        return float(token.replace(",", "."))
+
+    def level(least):
+        value = operand()
+        while rest and priority.get(rest[-1], 0) >= least:
+            sign = rest.pop()
+            right = level(priority[sign] + 1)
+            if sign == "/" and right == 0:
+                raise ValueError(formula.ZERO_DIVISION)
+            value = {"+": value + right, "-": value - right, "*": value * right, "/": value / (right or 1)}[sign]
+        return value
+
+    try:
+        value = level(1)
+    except ValueError as problem:
+        return None, str(problem)
+    return (None, formula.EXTRA % " ".join(rest[::-1])) if rest else (None if missing else value, None)
+
+
+def evaluated(spark, texts, known):
+    """The same by the library, in the order of ``texts``."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, expression string")
+    ids, values = F.array(*[F.lit(k) for k in known]), F.array(*[F.lit(v).cast("double") for v in known.values()])
+    told = rows.select("k", formula.evaluate(F.col("expression"), ids, values).alias("e")).orderBy("k").collect()
+    return [(r["e"]["value"], r["e"]["error"]) for r in told]
+
+
+def test_random_formulas_equal_precedence_climbing(spark):
+    dice, known = random.Random(4), {"a": 3.0, "b": 0.25, "gone": None}
+    pieces = ["1", "2,5", "0", "(", ")", "+", "-", "*", "/", "[a]", "[ b ]", "[zz]", "[gone]", " ", "10", "(", ")"]
+
+    def formed(depth):
+        kind = dice.random()
+        if depth == 0 or kind < 0.3:
+            return dice.choice(["1", "2,5", "0", "[a]", "[b]", "[zz]"])
+        if kind < 0.6:
+            return f"({formed(depth - 1)})" if kind < 0.5 else dice.choice("+-") + formed(depth - 1)
+        return formed(depth - 1) + dice.choice(["+", "-", "*", "/", " + ", "*-"]) + formed(depth - 1)
+
+    texts = [None, "", " ", "1 & 2", "&", "1 [a", "[]", "7)", "(1", "2--3", "-(-2)*3", "(" * 200 + "1" + ")" * 200, "-" * 101 + "1", "+".join(["1"] * 300)]
+    texts += ["".join(dice.choices(pieces, k=dice.randint(1, 9))) for _ in range(1500)] + [formed(3) for _ in range(700)]
+    assert evaluated(spark, texts, known) == [climbed(t, known) for t in texts]
 
 
 def test_formula_rules(spark):
