@@ -275,8 +275,8 @@ def fit_toxicity(
     toxic.
     """
     known = ratings.select("file", F.col("toxic").cast("int").alias("toxic")).filter(F.col("file").isNotNull() & F.col("toxic").isin(0, 1)).distinct()
-    rated = files.select("file", "text").filter("text <> ''").join(known, "file")
-    sizes = {r["toxic"]: r for r in rated.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    rated = files.filter("text <> ''").select("file", F.length("text").alias("chars")).join(known, "file")  # texts stay where they are
+    sizes = {r["toxic"]: r for r in rated.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     if len(sizes) < 2:
         return NO_MODEL
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "file"), F.lit(1 << 30)) / float(1 << 30)
