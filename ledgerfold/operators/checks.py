@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ ISSUES = {
     "density": ("warning", "Плотность не сходится с массой и объёмом"),
     "no-units": ("error", "В реестре нет количества расчётных единиц"),
     "zero-sources": ("info", "Источники с нулевым количеством единиц"),
+    # files and tables left out, where a single run would stop
+    "unread-file": ("error", "Файл реестра не прочитан"),
+    "norm-layout": ("error", "По разметке не прочитана таблица нормативов"),
 }
 UNITS_BALANCE = "Баланс расчётных единиц"
 SOURCES_BALANCE = "Баланс количества источников"
@@ -195,15 +200,35 @@ def registry_issues(totals: DataFrame) -> DataFrame:
     return no_units.unionByName(zeros)
 
 
+def input_issues(unread: DataFrame | None, layout_errors: DataFrame | None) -> DataFrame | None:
+    """Files of the registry and tables of the order that were left out."""
+    found = []
+    if unread is not None:
+        found.append(_one(unread, _issue("unread-file", note=F.concat_ws(": ", "file", "reason"))))
+    if layout_errors is not None:
+        note = F.concat_ws(": ", "file", F.col("table_idx").cast("string"), "reason")
+        found.append(_one(layout_errors, _issue("norm-layout", note=note)))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def all_issues(
-    balance_totals: DataFrame, items: DataFrame, rows: DataFrame, mapping: DataFrame, norms: DataFrame, totals: DataFrame
+    balance_totals: DataFrame,
+    items: DataFrame,
+    rows: DataFrame,
+    mapping: DataFrame,
+    norms: DataFrame,
+    totals: DataFrame,
+    unread: DataFrame | None = None,
+    layout_errors: DataFrame | None = None,
 ) -> DataFrame:
-    return (
+    of_inputs = input_issues(unread, layout_errors)
+    found = (
         balance_issues(balance_totals)
         .unionByName(unassigned_issues(items))
         .unionByName(row_issues(rows, mapping, norms))
         .unionByName(registry_issues(totals))
     )
+    return found if of_inputs is None else found.unionByName(of_inputs)
 
 
 def by_severity(issues: DataFrame) -> DataFrame:

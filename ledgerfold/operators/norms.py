@@ -330,6 +330,20 @@ def apply_layouts(grids: DataFrame, layouts: DataFrame) -> DataFrame:
     return extract(rows, place_layouts(rows, layouts))
 
 
+def layout_errors(grids: DataFrame, layouts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Tables that a layout names and that gave nothing, with the reason.
+
+    ``no-table``: the file has no such table; ``nothing-read``: the layout is not
+    usable, starts below the last row, or no row of the table reads by it.
+    ``entries`` are those of ``apply_layouts``.  Tables of a file meet as one
+    row each, map-side, before they are joined.
+    """
+    landed = grids.select(*TABLE).distinct().withColumn("landed", F.lit(True))
+    read = entries.select(*TABLE).distinct()
+    missed = layouts.select(*TABLE).distinct().join(read, TABLE, "left_anti").join(landed, TABLE, "left")
+    return missed.select(*TABLE, F.when(F.col("landed"), "nothing-read").otherwise("no-table").alias("reason"))
+
+
 def skipped_tables(grids: DataFrame, entries: DataFrame) -> DataFrame:
     """Tables of more than one row from which nothing was read."""
     sizes = grids.groupBy(*TABLE).agg(F.max("title").alias("title"), F.count("*").alias("n_rows"))

@@ -182,6 +182,18 @@ def reapply_saved(detected: DataFrame, saved: DataFrame) -> DataFrame:
     return saved.join(useful, "file", "left_semi").withColumn("source", F.lit("saved")).unionByName(kept)
 
 
+def read_by_stored_layout(grids: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Norms of each file by its stored layout where that still fits, else by detection.
+
+    A layout fits no more if a table that it names is missing or gives nothing,
+    or if the whole file gives fewer than two entries.  ``source`` tells which
+    reading counts; files without a stored layout are read by detection.
+    """
+    by_layout = cut(norms.apply_layouts(grids, layouts))
+    broken = norms.layout_errors(grids, layouts, by_layout).select("file").distinct()
+    return reapply_saved(norms.read_norms(grids), by_layout.join(broken, "file", "left_anti"))
+
+
 def validate_registry_proposals(grids: DataFrame, proposals: DataFrame) -> DataFrame:
     """Verdict per extract on a proposed sheet, header row and columns (-1 = absent).
 

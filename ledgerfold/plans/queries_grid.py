@@ -214,10 +214,31 @@ def explicit_norm_layouts(spark, sf_dir):
     return norms.apply_layouts(order, given).select("table_idx", "pos", "name", "basis", "mass", "volume")
 
 
+def explicit_norm_layout_errors(spark, sf_dir):
+    """Layouts that fit (table 0) and that don't: header below the last row (1), no name
+    column (2), names taken for masses (3), and a table per part brand that isn't there."""
+    order = extracts.norm_grids(spark, sf_dir)
+    there = order.filter(F.col("table_idx") < 4).select("file", "table_idx").distinct()
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    absent = brands.select(F.lit("order.docx").alias("file"), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") + 10).alias("table_idx"))
+    number = F.col("table_idx")
+    given = there.unionByName(absent).select(
+        "file",
+        "table_idx",
+        F.when(number == 1, 2_000_000_000).otherwise(3).alias("header_row_count"),
+        F.when(number == 2, -1).when(number == 3, 1).otherwise(0).alias("name_column"),
+        F.lit(-1).alias("unit_column"),
+        F.when(number == 3, 0).otherwise(2).alias("mass_column"),
+        F.when(number == 3, -1).otherwise(1).alias("volume_column"),
+    )
+    return norms.layout_errors(order, given, norms.apply_layouts(order, given))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dense_rows, expanded_spans, filled_down, table_captions, service_rows, split_tables, header_samples,
         sample_allowances, norms_sample, file_kinds, norm_skipped_tables, explicit_norm_layouts,
+        explicit_norm_layout_errors,
     )
 }

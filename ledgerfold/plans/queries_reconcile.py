@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ledgerfold.operators import grid, match, measures, norms, rules, template
 from ledgerfold.operators.checks import by_severity
 from ledgerfold.plans import extracts, report
 from ledgerfold.plans.reconcile import Inputs, Reconciliation, reconcile
+from ledgerfold.session import shared_folder
+from ledgerfold.sources import landing
 
 
 def fresh_run(spark: SparkSession, sf_dir: str, by_municipality: bool = False, ruled: bool = False) -> Reconciliation:
@@ -254,10 +257,28 @@ def report_rows(spark, sf_dir):
     return report.result_table(_run(spark, sf_dir))
 
 
+def _files(spark, sf_dir):
+    return extracts.registry_heads(spark, sf_dir).select(F.lit("Реестр ИОО").alias("label"), F.col("file").alias("name")).distinct()
+
+
 def report_verification(spark, sf_dir):
-    run = _run(spark, sf_dir)
-    files = extracts.registry_heads(spark, sf_dir).select(F.lit("Реестр ИОО").alias("label"), F.col("file").alias("name"))
-    return report.verification_table(run, files.distinct()).filter("section <> 'issues'")
+    return report.verification_table(_run(spark, sf_dir), _files(spark, sf_dir))
+
+
+def report_round_trip(spark, sf_dir):
+    """The five report tables written and read back: rows, columns and filled cells of each."""
+    folder = f"{shared_folder(spark)}/ledgerfold/report-{uuid.uuid4().hex}"
+    landing.write_report(_run(spark, sf_dir), _files(spark, sf_dir), folder)
+    counted = [
+        frame.agg(
+            F.lit(name).alias("report_table"),
+            F.count("*").alias("n_rows"),
+            F.lit(len(frame.columns)).alias("n_columns"),
+            sum((F.count(c) for c in frame.columns), F.lit(0)).cast("bigint").alias("n_cells"),
+        )
+        for name, frame in landing.read_report(spark, folder).items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 def report_norms(spark, sf_dir):
@@ -275,5 +296,6 @@ QUERIES = {
         rows_with_data, unassigned, unassigned_by_municipality, balance_totals, balance_checks, issues,
         issues_with_rules, run_summary,
         report_norm_mapping, report_registry_mapping, report_rows, report_verification, report_norms,
+        report_round_trip,
     )
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import registry
 from ledgerfold.plans import extracts
-from ledgerfold.session import cut
+from ledgerfold.session import cut, shared_folder
+from ledgerfold.sources.landing import csv_line, read_csv_extracts
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,26 @@ def registry_explicit_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracts written as CSV, four files each, and read again with all their lines."""
+    folder = f"{shared_folder(spark)}/ledgerfold/csv-{uuid.uuid4().hex}"
+    heads = extracts.registry_heads(spark, sf_dir).withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    body = extracts.registry_body(spark, sf_dir).withColumn("part", (F.col("row_idx") % 4).cast("int"))
+    lines = heads.unionByName(body).select(F.regexp_extract("file", r"(\d+)", 1).alias("extract"), "part", "row_idx", csv_line(F.col("cells")).alias("line"))
+    ordered = lines.repartition("extract", "part").sortWithinPartitions("extract", "part", "row_idx")
+    ordered.drop("row_idx").write.partitionBy("extract", "part").text(folder)
+    grids = read_csv_extracts(spark, folder, by_path=True)
+    rows = registry.typed_rows(grids, registry.layouts(grids))
+    return registry.cube(rows).groupBy(F.regexp_extract("file", r"extract=(\d+)", 1).cast("int").alias("extract")).agg(
+        F.count_distinct("file").alias("n_files"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_unknown").alias("n_unknown"),
+        F.sum("n_unreadable").alias("n_unreadable"),
+        F.count_distinct("category").alias("n_category"),
+        F.sum("units").alias("units"),
+    )
+
+
 def registry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.groups(_cube(spark, sf_dir))
 
@@ -125,6 +148,7 @@ QUERIES = {
         registry_header_columns,
         registry_best_sheet,
         registry_explicit_layout,
+        csv_extracts,
         registry_groups,
         registry_group_files,
         registry_categories,

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.registered import register
-from ledgerfold.operators import norms, proposals, registry, rules
+from ledgerfold.functions.text import cell_text
+from ledgerfold.operators import grid, norms, proposals, registry, rules
 from ledgerfold.plans import extracts
 from ledgerfold.plans.extracts import table
 from ledgerfold.sources import rules as rule_files
@@ -140,6 +141,77 @@ def rules_round_trip(spark, sf_dir):
     return norm.unionByName(target("registry", "registry")).unionByName(target("zone", "zones"))
 
 
+def _stored(spark, sf_dir):
+    """Layouts found in the given tables, stored in a rule file and read back.
+
+    The order's tables are stored with tonnes for a factor, the registry's layout
+    is that of extract 3 with a category column of its own.
+    """
+    folder = f"{shared_folder(spark)}/ledgerfold/rules-{uuid.uuid4().hex}"
+    order = extracts.norm_grids(spark, sf_dir)
+    rows = order.filter(grid.is_significant(F.col("cells")))
+    found = norms.detect_layouts(rows)
+    counts = norms.header_row_counts(rows, found.select(*grid.TABLE, "data_from"))
+    tables = found.join(counts, grid.TABLE).select(
+        "table_idx", (-F.col("table_idx")).alias("list_pos"), "header_row_count", *norms.COLUMNS,
+        F.lit(1000.0).alias("mass_factor"), F.lit(None).cast("double").alias("volume_factor"), F.lit("plot").alias("basis"), F.lit("помощник").alias("source"),
+    )
+    detected = registry.layouts(extracts.registry_body(spark, sf_dir), top=extracts.registry_heads(spark, sf_dir))
+    markup = detected.filter("file = 'extract_3.xlsx'").select("table_idx", *registry.LAYOUT, F.lit("помощник").alias("source"))
+    zones = extracts.zone_rules(spark, sf_dir)
+    rule_files.write_rules(extracts.norm_rules(spark, sf_dir), rules.latest(_edits(spark, sf_dir)), zones, folder, tables, markup)
+    return rule_files.read_rule_lines(spark, folder)
+
+
+def stored_layouts_round_trip(spark, sf_dir):
+    """Both stored layouts of a rule file, and how many rules stand beside them."""
+    back = _stored(spark, sf_dir)
+    text = lambda *columns: F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("value")
+    layout = ("list_pos", "header_row_count", *norms.COLUMNS, "mass_factor", "volume_factor", "basis", "source")
+    told = back["norms_layout"].select(F.lit("norms").alias("kind"), "table_idx", text(*layout))
+    told = told.unionByName(back["registry_markup"].select(F.lit("registry").alias("kind"), "table_idx", text(*registry.LAYOUT, "source")))
+    beside = [back[k].agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k in ("norms", "registry", "zones")]
+    for one in beside:
+        told = told.unionByName(one.select(F.concat("kind", F.lit(" rules")).alias("kind"), F.lit(None).cast("int").alias("table_idx"), F.col("n").cast("string").alias("value")))
+    return told
+
+
+def stored_layout_norms(spark, sf_dir):
+    """An order per brand, read by the stored layout of one of them.
+
+    Every fifth brand's order has another number of its table, which the layout
+    doesn't fit; those are read by detection.
+    """
+    orders = _brand_orders(spark, sf_dir)
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    orders = orders.withColumn("table_idx", F.when(number % 5 == 4, 1).otherwise(0))
+    layout = orders.select(F.lit(0).alias("table_idx"), F.lit(0).alias("list_pos")).distinct().select(
+        "*", F.lit(1).alias("header_row_count"), F.lit(0).alias("name_column"), F.lit(-1).alias("unit_column"), F.lit(2).alias("mass_column"),
+        F.lit(1).alias("volume_column"), F.lit(1000.0).alias("mass_factor"), F.lit(None).cast("double").alias("volume_factor"),
+        F.lit("plot").alias("basis"), F.lit("помощник").alias("source"),
+    )
+    folder = f"{shared_folder(spark)}/ledgerfold/rules-{uuid.uuid4().hex}"
+    zones = extracts.zone_rules(spark, sf_dir)
+    rule_files.write_rules(extracts.norm_rules(spark, sf_dir), zones.limit(0), zones, folder, layout)
+    stored = rule_files.read_rule_lines(spark, folder)["norms_layout"]
+    read = proposals.read_by_stored_layout(orders, rule_files.bind_norms_layout(stored, orders))
+    return read.groupBy("file", "source", "basis").agg(
+        F.count("*").alias("n"), F.round(F.sum("mass"), 2).alias("mass"), F.round(F.sum("volume"), 2).alias("volume")
+    )
+
+
+def stored_markup_rows(spark, sf_dir):
+    """All extracts read by the stored markup of extract 3 where it reads anything."""
+    markup = _stored(spark, sf_dir)["registry_markup"]
+    body, top = extracts.registry_body(spark, sf_dir), extracts.registry_heads(spark, sf_dir)
+    chosen = proposals.apply_registry_layout(body, markup, registry.layouts(body, top=top))
+    rows = registry.typed_rows(body, chosen.drop("layout_source"))
+    return registry.cube(rows).groupBy("file").agg(
+        F.sum("n_rows").alias("n_rows"), F.count_distinct("category").alias("n_category"),
+        F.count_distinct(cell_text(F.col("zone"))).alias("n_zone"), F.sum("units").alias("units"),
+    )
+
+
 def parsed_event_rules(spark, sf_dir):
     """Rules standing bare in JSON, one document per event."""
     text = F.concat(
@@ -187,6 +259,6 @@ QUERIES = {
     for f in (
         norm_proposal_checks, norm_proposal_verdicts, norm_proposal_acceptance, saved_layout_reapplied,
         registry_proposal_verdicts, registry_layout_for_all, rules_in_force, rules_round_trip, parsed_event_rules,
-        streamed_groups, functions_in_sql,
+        stored_layouts_round_trip, stored_layout_norms, stored_markup_rows, streamed_groups, functions_in_sql,
     )
 }

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerfold.operators import checks as C
 from ledgerfold.operators import match, measures, norms, registry, rules, template
@@ -46,6 +47,13 @@ class Reconciliation:
     def unread_files(self) -> DataFrame:
         return registry.unread_files(self.inputs.registry, self.registry_layout)
 
+    @cached_property
+    def unread_names(self) -> DataFrame:
+        """Names of unread files, by the first rows of the files alone."""
+        inputs = self.inputs
+        top = inputs.registry.filter(F.col("row_idx") < registry.HEADER_DEPTH) if inputs.registry_top is None else inputs.registry_top
+        return registry.unread_files(top, self.registry_layout).select("file", "reason")
+
     @cached_property
     def cube(self) -> DataFrame:
         return cut(registry.cube(registry.typed_rows(self.inputs.registry, self.registry_layout)))
@@ -84,6 +92,12 @@ class Reconciliation:
         grids, given = self.inputs.order, self.inputs.norm_layouts
         return cut(norms.read_norms(grids) if given is None else norms.apply_layouts(grids, given))
 
+    @cached_property
+    def norm_layout_errors(self) -> DataFrame | None:
+        """Tables of the order that a given layout names in vain."""
+        given = self.inputs.norm_layouts
+        return None if given is None else norms.layout_errors(self.inputs.order, given, self.norms)
+
     @cached_property
     def norm_candidates(self) -> DataFrame:
         wanted = match.norm_names(self.form_categories)
@@ -153,7 +167,8 @@ class Reconciliation:
     def issues(self) -> DataFrame:
         return cut(
             C.all_issues(
-                self.balance, self.unassigned, self.results, self.norm_mapping, self.norms, self.registry_totals
+                self.balance, self.unassigned, self.results, self.norm_mapping, self.norms, self.registry_totals,
+                self.unread_names, self.norm_layout_errors,
             )
         )
 

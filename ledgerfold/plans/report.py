@@ -34,6 +34,14 @@ BY_HAND, VALUES_BY_HAND = "да", "значения заданы вручную"
 NO_ISSUES = "Замечаний нет: файл не противоречит исходным данным."
 
 
+def _plain(column: str, kind: str) -> Column:
+    """A value as readers expect it: no exponent, no zeros after the last digit, nothing for null."""
+    value = F.col(column)
+    if kind == "double":
+        value = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 def _checked(auto: Column) -> Column:
     return F.when(~auto, F.lit(BY_HAND)).otherwise(F.lit(""))
 
@@ -115,7 +123,8 @@ def verification_table(run: Reconciliation, files: DataFrame) -> DataFrame:
     ``files`` is ``(label, name)``.
     """
     empty = F.lit("")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kinds = dict(run.summary.dtypes) | dict(run.checks.dtypes)
+    text = lambda c: _plain(c, kinds.get(c, "string"))
     of_files = files.select(F.lit("files").alias("section"), "label", F.col("name").alias("value"), empty.alias("actual"), empty.alias("outcome"))
     pairs = F.array(*[F.struct(F.lit(label).alias("label"), text(c).alias("value")) for c, label in SUMMARY_LABELS.items()])
     of_summary = run.summary.select(F.explode(pairs).alias("p")).select(

@@ -21,9 +21,12 @@ def read_grids(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(GRID_SCHEMA).parquet(*paths)
 
 
-def read_csv_extracts(spark: SparkSession, *paths: str, width: int | None = None, separator: str = ",") -> DataFrame:
+def read_csv_extracts(spark: SparkSession, *paths: str, width: int | None = None, separator: str = ",", by_path: bool = False) -> DataFrame:
     """CSV extracts as grids, with the name of its file on every row.
 
+    ``by_path`` names a file by its whole path, for folders that hold files of
+    equal names, which are told apart no other way.
+
     Lines are read whole and parted here, so rows may have any number of cells,
     blank lines count and ``row_idx`` is the number of the line, from 0.  Quoted
     cells may hold separators and doubled quotes; a quoted line break is not put
@@ -33,7 +36,7 @@ def read_csv_extracts(spark: SparkSession, *paths: str, width: int | None = None
     """
     block = F.col("_metadata.file_block_start")
     lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_name").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("order"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")
+        F.col("_metadata.file_path" if by_path else "_metadata.file_name").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("order"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")
     )
     firsts = lines.groupBy("file", "block").agg(F.min("order").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,3 +87,14 @@ def write_report(run: Reconciliation, files: DataFrame, folder: str) -> None:
     """The five report tables, one folder each."""
     for name, frame in report_tables(run, files).items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_report(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The five tables of a written report."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in REPORT_TABLES}
+
+
+def csv_line(cells: Column, separator: str = ",") -> Column:
+    """One CSV line of cells, readable by ``csv_cells``; null cells are empty."""
+    quoted = F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.array_join(quoted, separator)

@@ -91,4 +91,8 @@ FROM part GROUP BY 2 HAVING count(*) > 1""",
 SELECT table_idx, row_number() OVER (ORDER BY -table_idx, pos) - 1 AS pos, name, 'place' AS basis,
   CASE WHEN table_idx = 1 THEN raw_mass ELSE raw_volume END AS mass, CASE WHEN table_idx = 4 THEN raw_mass END AS volume
 FROM norms WHERE table_idx IN (1, 4)""",
+    "explicit_norm_layout_errors": """SELECT 'order.docx' AS file, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) + 10 AS table_idx, 'no-table' AS reason
+FROM part GROUP BY p_brand
+UNION ALL SELECT DISTINCT 'order.docx', t, 'nothing-read' FROM part,
+  (VALUES (1), (2), (3)) x(t) WHERE p_type = ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'][t + 1]""",
 }

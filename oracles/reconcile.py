@@ -95,6 +95,23 @@ _SUMMARY_PAIRS = ", ".join(
     }.items()
 )
 
+_DECIMAL = r"regexp_replace(CAST(CAST({} AS DECIMAL(38, 6)) AS VARCHAR), '\.?0+$', '')"
+_SUMMARY_FIGURES = ", ".join(
+    f"('{label}', coalesce({_DECIMAL.format('s.' + column)}, ''))"
+    for column, label in {
+        "total_units": "Итого расчётных единиц (столбец G)",
+        "total_mass": "Итого расчётная масса, т",
+        "total_volume": "Итого расчётный объем, м³",
+        "average_density": "Средний коэффициент плотности, т/м³",
+    }.items()
+)
+_TITLES = """CASE code WHEN 'balance' THEN 'Расхождение с реестром' WHEN 'unassigned' THEN 'Данные реестра не попали в файл'
+  WHEN 'duplicate' THEN 'Повторяющаяся строка шаблона' WHEN 'formula' THEN 'Ошибка в формуле норматива'
+  WHEN 'no-norm' THEN 'Нет норматива при наличии данных' WHEN 'half-norm' THEN 'Норматив задан частично'
+  WHEN 'unconfirmed' THEN 'Сопоставление не подтверждено' WHEN 'basis' THEN 'Разные расчётные единицы'
+  WHEN 'density' THEN 'Плотность не сходится с массой и объёмом' WHEN 'no-units' THEN 'В реестре нет количества расчётных единиц'
+  WHEN 'zero-sources' THEN 'Источники с нулевым количеством единиц' END"""
+
 SQL = {
     "form_header_roles": """
 SELECT 'form.xlsx' AS file, 0 AS table_idx, 0 AS header_row, 11 AS last_header_column, 1 AS subject, 2 AS zone,
@@ -228,3 +245,28 @@ SELECT excel_row, zone, category, unit, sources, coalesce({r('units', 0)}, 0.0)
     "report_norms": f"""WITH {NORMS}
 SELECT name, {_BASIS.format('basis')} AS basis, round(mass, 6) AS mass, volume, raw_mass, raw_volume, file FROM norms""",
 }
+SQL["report_verification"] = f"""WITH {_ISSUES}, summed AS ({_SUMMARY}), checked AS (SELECT * FROM ({SQL['balance_checks']}))
+SELECT DISTINCT 'files' AS section, 'Реестр ИОО' AS label, 'extract_' || l_linenumber || '.xlsx' AS value, '' AS actual, '' AS outcome FROM lineitem
+UNION ALL SELECT 'summary', p.l, p.v, '', '' FROM summed s, LATERAL (VALUES {_SUMMARY_PAIRS}, {_SUMMARY_FIGURES}) p(l, v)
+UNION ALL SELECT 'checks', name, {_DECIMAL.format('expected')}, {_DECIMAL.format('actual')}, CASE WHEN ok THEN 'сходится' ELSE 'РАСХОЖДЕНИЕ' END FROM checked
+UNION ALL SELECT 'issues', CASE level WHEN 'error' THEN 'Ошибка' WHEN 'warning' THEN 'Предупреждение' ELSE 'Информация' END, {_TITLES},
+  coalesce(note, ''), coalesce(CAST(excel_row AS VARCHAR), '') || ' / ' || coalesce(zone, '') || ' / ' || coalesce(category, '') FROM all_issues
+UNION ALL SELECT 'issues', '', 'Замечаний нет: файл не противоречит исходным данным.', '', '' FROM all_issues HAVING count(*) = 0"""
+
+
+def _counted(name: str, table: str, full: int, *sparse: str) -> str:
+    """Rows, columns and filled cells; ``full`` columns have no nulls, ``sparse`` ones may."""
+    cells = " + ".join([f"{full} * count(*)", *[f"count({c})" for c in sparse]])
+    return f"SELECT '{name}' AS report_table, count(*) AS n_rows, {full + len(sparse)} AS n_columns, {cells} AS n_cells FROM ({table})"
+
+
+_CHOSEN = f"WITH {_NORM_CHAIN} SELECT n.mass, n.volume FROM norm_map m LEFT JOIN norms n ON n.id = m.entry_id"
+SQL["report_round_trip"] = "\nUNION ALL ".join(
+    [
+        _counted("verification", SQL["report_verification"], 5),
+        _counted("norm_mapping", _CHOSEN, 9, "mass", "volume"),
+        _counted("registry_mapping", SQL["report_registry_mapping"], 7),
+        _counted("rows", SQL["report_rows"], 12, "norm_mass", "norm_volume"),
+        _counted("norms", SQL["report_norms"], 3, "mass", "volume", "raw_mass", "raw_volume"),
+    ]
+)

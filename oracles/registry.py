@@ -68,4 +68,8 @@ ranked AS (
   FROM reg WHERE unreadable
 )
 SELECT file, place, excel_row, raw_units FROM ranked WHERE place <= 50""",
+    "csv_extracts": f"""WITH {LINES}
+SELECT k AS extract, count(DISTINCT (excel_row - 1) % 4) AS n_files, count(*) AS n_rows, count(*) FILTER (WHERE units IS NULL) AS n_unknown,
+  count(*) FILTER (WHERE unreadable) AS n_unreadable, count(DISTINCT category) AS n_category, coalesce(sum(units), 0.0) AS units
+FROM reg GROUP BY k""",
 }

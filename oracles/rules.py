@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracles.reconcile import SQL as RECONCILE
 from oracles.sql import LINES, norm, tokens
 
 _BRANDS = """
@@ -60,4 +61,20 @@ SELECT {norm('zone_key')} AS zone_key, category_key, count(*) AS n_rows, count(*
   count(DISTINCT day) AS n_files FROM e GROUP BY 1, 2""",
     "functions_in_sql": f"""SELECT doc_id, md5({norm('text')}) AS key_md5, len({tokens(norm('text'))}) AS n_tokens,
   round(1 - levenshtein(lang, source) / greatest(len(lang), len(source))::DOUBLE, 6) AS ratio, n_chars + 0.5::DOUBLE AS number FROM documents""",
+    "stored_layout_norms": """WITH b AS (
+  SELECT p_brand || '.docx' AS file, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 5 = 4 OR count(*) < 2 AS other,
+    count(*) AS n, sum(p_retailprice) AS mass, sum(p_size)::DOUBLE AS volume FROM part GROUP BY p_brand
+)
+SELECT file, CASE WHEN other THEN 'detected' ELSE 'saved' END AS source, CASE WHEN other THEN 'other' ELSE 'plot' END AS basis, n,
+  round(CASE WHEN other THEN mass ELSE mass * 1000 END, 2) AS mass, round(volume, 2) AS volume FROM b""",
+    "stored_markup_rows": f"""WITH {LINES}
+SELECT file, count(*) AS n_rows, count(DISTINCT CASE WHEN k = 7 THEN zone WHEN k = 3 THEN category ELSE zone END) AS n_category,
+  count(DISTINCT CASE WHEN k = 3 THEN zone WHEN k = 7 THEN municipality ELSE category END) AS n_zone, coalesce(sum(CASE WHEN k = 7 THEN 0.0 ELSE units END), 0.0) AS units
+FROM reg WHERE k = 3 OR zone <> '' GROUP BY file""",
 }
+SQL["stored_layouts_round_trip"] = f"""WITH tables AS (SELECT *, row_number() OVER (ORDER BY table_idx DESC) - 1 AS place FROM ({RECONCILE['norm_layouts']})),
+beside AS (SELECT kind, count(*) AS n FROM ({SQL['rules_round_trip']}) GROUP BY kind)
+SELECT 'norms' AS kind, table_idx, concat_ws('/', place, 3, name_column, unit_column, mass_column, volume_column, '1000.0', '-', 'plot', 'помощник') AS value FROM tables
+UNION ALL SELECT 'registry', 0, '1/2/1/0/-/-/помощник' FROM lineitem WHERE l_linenumber = 3 HAVING count(*) > 0
+UNION ALL SELECT k.name, NULL, coalesce(n, 0)::VARCHAR FROM (VALUES ('norm', 'norms rules'), ('registry', 'registry rules'), ('zone', 'zones rules')) k(kind, name)
+  LEFT JOIN beside USING (kind)"""
