@@ -11,6 +11,7 @@ from ledgerfold.operators.relational import join_lookup
 from ledgerfold.operators.template import keyed_rows
 
 KEYS = ["zone_key", "municipality_key", "category_key"]
+ASSIGNED = ("target_zone", "target_municipality", "target_category", "reason")
 
 # --- fixed values: kilograms in a tonne, and why a group did not land ----------
 KG_PER_TONNE = 1000
@@ -95,7 +96,11 @@ def results(template: DataFrame, totals: DataFrame, norms_of: DataFrame) -> Data
     Only the first row of a repeated key takes the totals; repeats get zeros
     without passing through the join, and keep their norm.
     """
-    keyed = keyed_rows(template)
+    return results_of(keyed_rows(template), totals, norms_of)
+
+
+def results_of(keyed: DataFrame, totals: DataFrame, norms_of: DataFrame) -> DataFrame:
+    """The same for rows that have their key and the mark of repeats already."""
     zero = {
         "sources": F.lit(0).cast("bigint"),
         "units": F.lit(0.0),

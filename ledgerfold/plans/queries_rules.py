@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.registered import register
 from ledgerfold.functions.text import cell_text
 from ledgerfold.operators import grid, norms, proposals, registry, rules
-from ledgerfold.plans import extracts
+from ledgerfold.plans import extracts, queries_reconcile
+from ledgerfold.plans.edits import Edited, Edits
 from ledgerfold.plans.extracts import table
 from ledgerfold.sources import rules as rule_files
 from ledgerfold.session import shared_folder
 from ledgerfold.streaming.accumulate import accumulate, current_cube
+from ledgerfold.streaming.reconciled import forms, reconcile_stream
 
 
 def _brand_orders(spark, sf_dir):
@@ -244,6 +246,59 @@ def streamed_groups(spark, sf_dir):
     return found.select("zone_key", "category_key", "n_rows", "sources", "zero_sources", F.round("units", 4).alias("units"), "units_known", "n_files")
 
 
+def _in_thirds(rows, folder):
+    """A stream of typed rows, a third of their files to a batch."""
+    (rows if rows.rdd.getNumPartitions() >= 3 else rows.repartition(3)).write.parquet(folder)
+    spark = rows.sparkSession
+    n_files = len(spark.read.parquet(folder).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-n_files // 3))).parquet(folder)
+
+
+def streamed_form(spark, sf_dir):
+    """The form after registry rows came in three batches, compacted after the second."""
+    folder = f"{shared_folder(spark)}/ledgerfold/stream-{uuid.uuid4().hex}"
+    run = queries_reconcile.fresh_run(spark, sf_dir)
+    rows = registry.typed_rows(run.inputs.registry, run.registry_layout)
+    reconcile_stream(_in_thirds(rows, f"{folder}/in"), run, folder, every=2).awaitTermination()
+    filled = forms(spark, folder)
+    return filled[max(filled)].select(
+        "idx", "excel_row", "zone", "category", "unit", "sources", "units", "mass", "volume", "density", "norm_mass", "norm_volume"
+    ).orderBy("idx")
+
+
+def _edit_log(ruled, first, undone):
+    """Every key of ``ruled`` edited twice, the rule coming last; ``undone`` keys edited and reset."""
+    fields = [c for c in ruled.columns if c != "key"]
+    wrong = lambda keys: keys.select("key", *[F.lit(first.get(c)).cast(ruled.schema[c].dataType).alias(c) for c in fields])
+    numbered = lambda rows, n, reset: rows.withColumns({"edit": F.lit(n), "reset": F.lit(reset)})
+    return (
+        numbered(wrong(ruled), 1, False)
+        .unionByName(numbered(ruled, 2, False))
+        .unionByName(numbered(wrong(undone), 1, False))
+        .unionByName(numbered(wrong(undone), 2, True))
+    )
+
+
+def form_rows_after_edits(spark, sf_dir):
+    """Rules laid by edits over a finished run without rules: what they reach is worked out again.
+
+    Categories and norms that no rule names are edited, too, and reset.
+    """
+    before = queries_reconcile.fresh_run(spark, sf_dir)
+    norm_rules, categories, zones = (f(spark, sf_dir) for f in (extracts.norm_rules, extracts.category_rules, extracts.zone_rules))
+    others = lambda mapping, ruled: mapping.select("key").join(ruled, "key", "left_anti")
+    edits = Edits(
+        norms=_edit_log(norm_rules, {"mode": "none"}, others(before.norm_mapping, norm_rules).filter("key LIKE 'green%'")),
+        categories=_edit_log(categories, {"template_key": "red bolt"}, others(before.category_mapping, categories).filter("key LIKE 'green%'")),
+        zones=_edit_log(zones, {"template_key": ""}, others(before.zone_mapping, zones).filter("key LIKE 'africa%'")),
+    )
+    rows = Edited(before, edits).results
+    doubles = [n for n, t in rows.dtypes if t == "double"]
+    return rows.withColumns({c: F.round(c, 6) for c in doubles}).select(
+        "excel_row", "category_key", "norm_mode", "sources", "units", "norm_mass", "norm_volume", "norm_error", "mass", "volume"
+    )
+
+
 def functions_in_sql(spark, sf_dir):
     register(spark)
     docs = table(spark, sf_dir, "documents")
@@ -259,6 +314,7 @@ QUERIES = {
     for f in (
         norm_proposal_checks, norm_proposal_verdicts, norm_proposal_acceptance, saved_layout_reapplied,
         registry_proposal_verdicts, registry_layout_for_all, rules_in_force, rules_round_trip, parsed_event_rules,
-        stored_layouts_round_trip, stored_layout_norms, stored_markup_rows, streamed_groups, functions_in_sql,
+        stored_layouts_round_trip, stored_layout_norms, stored_markup_rows, streamed_groups, streamed_form,
+        form_rows_after_edits, functions_in_sql,
     )
 }

@@ -113,21 +113,33 @@ class Reconciliation:
         wanted = match.zone_names(self.registry_zones)
         return cut(match.rank_candidates(wanted, match.zone_pool(self.form_zones)))
 
+    @cached_property
+    def suggested_norms(self) -> DataFrame:
+        return match.norm_mapping(self.form_categories, self.norm_candidates)
+
+    @cached_property
+    def suggested_categories(self) -> DataFrame:
+        return match.registry_mapping(self.registry_categories, self.category_candidates)
+
+    @cached_property
+    def suggested_zones(self) -> DataFrame:
+        return match.zone_mapping(self.registry_zones, self.zone_candidates)
+
     @cached_property
     def norm_mapping(self) -> DataFrame:
-        mapping = match.norm_mapping(self.form_categories, self.norm_candidates)
+        mapping = self.suggested_norms
         ruled = self.inputs.norm_rules
         return mapping if ruled is None else rules.overlay_norms(mapping, ruled, self.norms)
 
     @cached_property
     def category_mapping(self) -> DataFrame:
-        mapping = match.registry_mapping(self.registry_categories, self.category_candidates)
+        mapping = self.suggested_categories
         ruled = self.inputs.category_rules
         return mapping if ruled is None else rules.overlay_targets(mapping, ruled)
 
     @cached_property
     def zone_mapping(self) -> DataFrame:
-        mapping = match.zone_mapping(self.registry_zones, self.zone_candidates)
+        mapping = self.suggested_zones
         ruled = self.inputs.zone_rules
         return mapping if ruled is None else rules.overlay_targets(mapping, ruled)
 
@@ -177,5 +189,31 @@ class Reconciliation:
         return C.summary(self.results, self.unassigned, self.issues, self.registry_totals, self.registry_categories)
 
 
+    def over(self, cube: DataFrame) -> Reconciliation:
+        """The same run over another state of the registry cube (a written table).
+
+        Form, norms and their matching don't depend on the registry and are kept;
+        so are the candidates of registry names that were matched before, as they
+        follow from the name's key and the form alone.  Only new names are matched.
+        """
+        other = Reconciliation(self.inputs)
+        other.cube = cube
+        for name in ("form_rows", "norms", "norm_candidates"):
+            setattr(other, name, getattr(self, name))
+        sides = (
+            ("category_candidates", match.registry_names(other.registry_categories), match.category_pool(self.form_categories)),
+            ("zone_candidates", match.zone_names(other.registry_zones), match.zone_pool(self.form_zones)),
+        )
+        for name, wanted, pool in sides:
+            known = self.__dict__.get(name)
+            if known is None:
+                found = match.rank_candidates(wanted, pool)
+            else:
+                new = wanted.join(known.select("key").distinct(), "key", "left_anti")
+                found = known.join(wanted.select("key"), "key", "left_semi").unionByName(match.rank_candidates(new, pool))
+            setattr(other, name, cut(found))
+        return other
+
+
 def reconcile(inputs: Inputs) -> Reconciliation:
     return Reconciliation(inputs)

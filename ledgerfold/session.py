@@ -70,3 +70,23 @@ def cut(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def written_folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Complete tables ``path/name=N`` by their number, from any store Spark reads."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return {}
+    found = {}
+    for status in store.listStatus(root):
+        folder = status.getPath()
+        left, _, number = folder.getName().partition("=")
+        if left == name and number.isdigit() and store.exists(folder.suffix("/_SUCCESS")):
+            found[int(number)] = folder.toString()
+    return found
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

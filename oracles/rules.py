@@ -78,3 +78,6 @@ SELECT 'norms' AS kind, table_idx, concat_ws('/', place, 3, name_column, unit_co
 UNION ALL SELECT 'registry', 0, '1/2/1/0/-/-/помощник' FROM lineitem WHERE l_linenumber = 3 HAVING count(*) > 0
 UNION ALL SELECT k.name, NULL, coalesce(n, 0)::VARCHAR FROM (VALUES ('norm', 'norms rules'), ('registry', 'registry rules'), ('zone', 'zones rules')) k(kind, name)
   LEFT JOIN beside USING (kind)"""
+
+SQL["streamed_form"] = RECONCILE["filled_form"]
+SQL["form_rows_after_edits"] = RECONCILE["reconciled_rows_with_rules"]
