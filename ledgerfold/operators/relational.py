@@ -31,6 +31,73 @@ def dealt_out(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def in_ranges(frame: DataFrame, keys: list[str], order: list[str], mark: str) -> DataFrame:
+    """Rows dealt into ranges of about equal size along (keys, order), numbered by ``mark``.
+
+    However sparse or crowded the order, and however large a key, a range is one
+    task's work.  The rows are written: the bounds of ranges are sampled, and must
+    not be drawn anew when the part of a lost executor is worked out again.
+    """
+    spark = frame.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut(frame.repartitionByRange(wanted, *keys, *order).withColumn(mark, F.spark_partition_id()))
+
+
+def as_of(
+    points: DataFrame, bounds: DataFrame, keys: list[str], value: str, at: str, above: bool = False
+) -> DataFrame:
+    """Points with the bounds beside them, as structs ``before`` and ``after``.
+
+    ``after`` is the first bound of the same keys at or above the point's ``value``
+    (only above it, if ``above``), ``before`` the last one short of that; either
+    may be null, both are for points without keys, value or bounds.  ``bounds`` has
+    ``idx``, which orders equal ones.  Points and bounds are merged into one sorted
+    union, cut into ranges; a key that spans several ranges carries its bounds over
+    their ends, by a table of at most two rows per range.
+    """
+    mine = points.select(
+        *keys, F.col(value).alias("__at"), F.lit(int(above)).alias("__turn"),
+        F.struct(*[c for c in points.columns if c not in keys]).alias("__point"),
+    )
+    theirs = bounds.dropna(subset=[*keys, at]).select(
+        *keys, F.col(at).alias("__at"), F.lit(int(not above)).alias("__turn"),
+        F.struct(*[c for c in bounds.columns if c not in keys]).alias("__bound"),
+    )
+    merged = in_ranges(mine.unionByName(theirs, allowMissingColumns=True), keys, ["__at", "__turn"], "__part")
+
+    spans = merged.groupBy(*keys).agg(F.min("__part").alias("__lo"), F.max("__part").alias("__hi")).filter("__lo < __hi")
+    place = F.when(F.col("__bound").isNotNull(), F.struct("__at", "__bound.idx"))
+    ends = (
+        merged.join(F.broadcast(spans.select(*keys)), keys, "left_semi")
+        .groupBy(*keys, "__part")
+        .agg(F.min_by("__bound", place).alias("__first"), F.max_by("__bound", place).alias("__last"))
+    )
+    parts = Window.partitionBy(*keys).orderBy("__part")
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("__part"))
+    others = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys, "__part",
+        F.last("__last", ignorenulls=True).over(others(parts)).alias("__earlier"),
+        F.last("__first", ignorenulls=True).over(others(backwards)).alias("__later"),
+    )
+
+    names = ", ".join(f"`{c}`" for c in [*keys, "__part"])
+    order = Window.partitionBy(*keys, "__part").orderBy("__at", "__turn", "__bound.idx")
+    beside = merged.withColumns(
+        {
+            "__before": F.last("__bound", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "__after": F.expr(f"lead(__bound) IGNORE NULLS OVER (PARTITION BY {names} ORDER BY __at, __turn, __bound.idx)"),
+        }
+    )
+    told = beside.filter("__point IS NOT NULL").join(F.broadcast(carried), [*keys, "__part"], "left")
+    known = F.col("__at").isNotNull()
+    return told.select(
+        *keys, "__point.*",
+        F.when(known, F.coalesce("__before", "__earlier")).alias("before"),
+        F.when(known, F.coalesce("__after", "__later")).alias("after"),
+    )
+
+
 def join_lookup(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", written: bool = False
 ) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import page_layout, scan_layout
-from ledgerfold.operators.geometry import cluster_starts, nearest, nearest_band, row_below
+from ledgerfold.operators.geometry import beside_bands, cluster_starts, rows_below
 from ledgerfold.plans.extracts import cell_fragments, scan_fragments, table
 from ledgerfold.session import cut
 
@@ -112,25 +113,26 @@ def value_clusters(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    """Per type of part: the distinct sizes of its parts as edges."""
-    return table(spark, sf_dir, "part").filter("p_size % 4 = 1").groupBy("p_type").agg(
-        F.sort_array(F.collect_set(F.col("p_size") * 30.0)).alias("edges")
-    )
+    """Per type of part: the distinct sizes of its parts as edges, numbered in ascending order."""
+    sizes = table(spark, sf_dir, "part").select("p_type", (F.col("p_size") * 30.0).alias("edge")).distinct()
+    order = Window.partitionBy("p_type").orderBy("edge")
+    return sizes.withColumn("idx", F.row_number().over(order) - 1)
 
 
 def nearest_edges(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").join(_edges(spark, sf_dir), "p_type")
-    return parts.select(
-        "p_partkey",
-        nearest(F.col("edges"), F.col("p_retailprice")).alias("edge"),
-        row_below(F.col("edges"), F.col("p_retailprice")).alias("row"),
-    )
+    parts = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice")
+    edges = _edges(spark, sf_dir)
+    bands = edges.select("p_type", "idx", F.col("edge").alias("x0"), F.col("edge").alias("x1"))
+    found = beside_bands(parts, bands, ["p_type"], "p_retailprice", "edge")
+    below = rows_below(found, edges.withColumnRenamed("edge", "y"), ["p_type"], "p_retailprice", "row")
+    return below.select("p_partkey", "edge", "row")
 
 
 def nearest_bands(spark, sf_dir):
-    bands = F.transform("edges", lambda e: F.struct(e.alias("x0"), (e + 40).alias("x1")))
-    parts = table(spark, sf_dir, "part").join(_edges(spark, sf_dir).withColumn("bands", bands), "p_type")
-    return parts.select("p_partkey", nearest_band(F.col("bands"), F.col("p_retailprice")).alias("band"))
+    """Bands of 40 at every 30: a price can lie in two, and takes the first."""
+    parts = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice")
+    bands = _edges(spark, sf_dir).select("p_type", "idx", F.col("edge").alias("x0"), (F.col("edge") + 40).alias("x1"))
+    return beside_bands(parts, bands, ["p_type"], "p_retailprice", "band").select("p_partkey", "band")
 
 
 QUERIES = {

@@ -101,13 +101,13 @@ SELECT doc, page, count(*) AS n_rows, md5(string_agg(line, '/' ORDER BY r)) AS d
 g AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY value) AS gap FROM v)
 SELECT user_id, count(*) AS n_clusters, round(sum(value), 6) AS starts FROM g WHERE gap IS NULL OR gap > 1 GROUP BY 1""",
     "nearest_edges": """WITH e AS (
-  SELECT p_type, p_size * 30.0::DOUBLE AS edge, dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) - 1 AS i FROM part WHERE p_size % 4 = 1 GROUP BY 1, 2, p_size
+  SELECT p_type, p_size * 30.0::DOUBLE AS edge, dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) - 1 AS i FROM part GROUP BY 1, 2, p_size
 )
 SELECT p_partkey, arg_min(i, (abs(edge - p_retailprice), i)) AS edge,
   coalesce(min(i) FILTER (WHERE p_retailprice < edge), max(i)) AS row
 FROM part JOIN e USING (p_type) GROUP BY 1""",
     "nearest_bands": """WITH e AS (
-  SELECT p_type, p_size * 30.0::DOUBLE AS edge, dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) - 1 AS i FROM part WHERE p_size % 4 = 1 GROUP BY 1, 2, p_size
+  SELECT p_type, p_size * 30.0::DOUBLE AS edge, dense_rank() OVER (PARTITION BY p_type ORDER BY p_size) - 1 AS i FROM part GROUP BY 1, 2, p_size
 )
 SELECT p_partkey, arg_min(i, (CASE WHEN p_retailprice < edge THEN edge - p_retailprice ELSE greatest(0.0, p_retailprice - edge - 40) END, i)) AS band
 FROM part JOIN e USING (p_type) GROUP BY 1""",
